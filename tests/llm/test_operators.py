@@ -1,0 +1,382 @@
+"""Operators against brute-force versions on small fixtures, with nulls, empty and long texts, ties, repeated and no rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidewater.llm import bpe, chat, langid, media, mixing, pii, quality, queries, sharding, simhash, substring_dedup
+from tidewater.llm.components import connected_components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, bucket string, size string"
+
+
+def some_texts(seed=1):
+    r = random.Random(seed)
+    vocabulary = ["ab", "tre", "ön", "wh", "the", "of", "x1", "Ère", "#", "%%"]
+    shared = " ".join(r.choice(vocabulary) + str(i) for i in range(60))
+    texts = [" ".join(r.choice(vocabulary) + str(r.randrange(300)) for _ in range(r.randrange(1, 200))) for _ in range(40)]
+    texts += [texts[0], texts[0], texts[1] + " tail", shared, "lead " + shared, shared + "\n" + shared, shared[: len(shared) // 2]]
+    texts += [None, None, "", " \t\n ", "one", "one\ntwo\r\none\none\x0bend", "a " * 30_000, "Ω Ω " * 50, "line one\nline one\n\nline one\nother"]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "fr", None][i % 3], ["a", "b", None, "ä", "hot", "hot", "hot"][i % 7], len(t or ""), "k", "b", "s") for i, t in enumerate(some_texts())]
+    rows += [rows[3], rows[3], (None, "no id", None, None, 5, "k", "b", "s"), (3, "same id, other text", "en", "a", 1, "k", "b", "s")]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_substring_dedup(docs, none):
+    L = 35
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    words = [WORD.findall(t or "") for _, t in rows]
+    seen = Counter(tuple(w[i : i + L]) for w in words for i in range(len(w) - L + 1))
+    want = Counter()
+    for (i, _), w in zip(rows, words, strict=True):
+        gone = {j for s in range(len(w) - L + 1) if seen[tuple(w[s : s + L])] > 1 for j in range(s, s + L)}
+        want[i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    out = substring_dedup.remove_repeated_windows(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out) == want
+    assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in out)
+    assert all(a.end < b.start for r in out for a, b in zip(r.removed, r.removed[1:], strict=False))
+    assert substring_dedup.remove_repeated_windows(none).count() == 0
+
+
+def test_substring_dedup_settles_repeats_inside_a_chunk_and_across(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 50)
+    w = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(w if i % 2 else [f"d{i}", *w[:20]])) for i in range(40)]
+    out = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert out == {i: 40 if i % 2 else 0 for i in range(40)}
+
+
+def brute_measures(t):
+    w = WORD.findall(t or "")
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    n = Counter(wins)
+    inside = {j for i, x in enumerate(wins) if n[x] > 1 for j in range(i, i + 5)}
+    return len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(inside)
+
+
+def test_quality(docs, none):
+    out = quality.ledger(docs).collect()
+    assert {(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out} == {brute_measures(r.text) for r in out}
+    assert all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_measures(r.text) for r in out)
+    assert all(bool(r.fail_bits & quality.BASE.mask) == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in out)
+    assert quality.ledger(none).count() == 0
+    judged = quality.ledger(docs)
+    got = {r["rule"]: (r.n_failed, r.n_only_this) for r in quality.ablation(judged, quality.STANDARD).collect()}
+    for rule in quality.STANDARD.rules:
+        bit = quality.BIT[rule]
+        assert got[rule] == (sum(bool(r.fail_bits & bit) for r in out), sum(r.fail_bits & quality.STANDARD.mask == bit for r in out))
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else False, "card": 16 <= len(d) <= 19 and pii.luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab9102.@+- ()%\nç", max_size=60))
+def test_plain_spans_match_the_patterns(text):
+    assert pii.find_base(text) == brute_spans(text)
+    found = pii.find_spans(text)
+    assert set(brute_spans(text)) <= set(found)
+    assert all(0 <= a < b <= len(text) for _, a, b in found)
+
+
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("write to jane.doe [at] example [dot] com now", "email", "jane.doe [at] example [dot] com"),
+        ("write to jane(at)mail.example(dot)org.", "email", "jane(at)mail.example(dot)org"),
+        ("jane at example dot com", "email", "jane at example dot com"),
+        ("mail jаne@exаmple.com", "email", "jаne@exаmple.com"),
+        ("mail jane​@exam​ple.com ok", "email", "jane​@exam​ple.com"),
+        ("full ｊａｎｅ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊａｎｅ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
+        ("host 10[.]20[.]30[.]40 down", "ip", "10[.]20[.]30[.]40"),
+        ("call plus one four one five five five five zero one two three", "phone", "plus one four one five five five five zero one two three"),
+        ("call +４１ ５５５ １２３４", "phone", "+４１ ５５５ １２３４"),
+        ("card four two four two four two four two four two four two four two four two", "card", "four two four two four two four two four two four two four two four two"),
+    ],
+)
+def test_disguises_map_back(text, kind, part):
+    at = text.index(part)
+    assert (kind, at, at + len(part)) in pii.find_spans(text)
+
+
+@pytest.mark.parametrize("text", ["look at example.com today", "Anat at the dot of this", "one two three go", "he was at home dot", "un deux", "a@b", "1.2.3", "" , "at dot at dot"])
+def test_clean_texts_have_no_spans(text):
+    assert pii.find_spans(text) == []
+
+
+def test_pii_frame(docs, none):
+    out = pii.detect(docs, redacted=True).collect()
+    assert len(out) == docs.count() and all(not r.pii_base for r in out if not r.text)
+    assert pii.redact("x a@b.cc y +1 234 567 8901 z", pii.find_spans("x a@b.cc y +1 234 567 8901 z")) == "x <email> y <phone> z"
+    assert pii.detect(none).count() == 0
+    assert pii.find_base("1" * 200_000) == [] and pii.find_spans("a" * 200_000 + "@") == []
+
+
+def waterfill(sizes, cap=3.0):
+    names = sorted((s for s in sizes if s is not None), key=str) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, out, open_ = sum(sizes.values()), {}, set(names)
+    while open_:
+        level = (total - sum(out.values())) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > cap * sizes[s]}
+        if not over:
+            return out | {s: weight[s] * level for s in open_}
+        out |= {s: cap * sizes[s] for s in over}
+        open_ -= over
+    return out
+
+
+def test_mixing(docs, none):
+    def run():
+        return mixing.mix(mixing.with_size(docs.select("doc_id", "source", "text"), keep_text=True)).collect()
+
+    out = run()
+    assert len(out) == docs.count() and all(r["size"] == len(WORD.findall(r.text or "")) for r in out)
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for r in out:
+        sizes[r.source] += r["size"]
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r["size"]
+    want = waterfill(sizes)
+    for r in out:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
+        largest[r.source] = max(largest[r.source], r["size"])
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
+    key = lambda rows: sorted((str(r.doc_id), r["size"], str(r.source), r.taken) for r in rows)
+    assert key(out) == key(run())
+    assert mixing.mix(mixing.with_size(none.select("doc_id", "source", "text"))).count() == 0
+
+
+def test_newton_meets_the_targets(spark):
+    cells = [("a", 1.0, 100), ("a", 0.2, 400), ("b", 2.0, 50), ("c", 1.0, 10)]
+    goals = {"a": 300.0, "b": 10.0, "c": 30.0}
+    duals = {r.key: r.dual for r in mixing.solve(spark.createDataFrame(cells, "key string, base double, words long"), spark.createDataFrame(list(goals.items()), "key string, target double")).collect()}
+    for s, goal in goals.items():
+        assert sum(w * min(3.0, b * np.exp(duals[s])) for k, b, w in cells if k == s) == pytest.approx(goal, rel=1e-9)
+
+
+@pytest.fixture(scope="module")
+def own():
+    ranks = bpe.encoder(queries.VOCABULARY, public_tokenizers.PATTERN).vocabulary.ranks
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(max_size=200))
+def test_bpe_equals_the_library(own, text):
+    text = text.encode("utf-8", "ignore").decode()
+    e = bpe.encoder(queries.VOCABULARY, public_tokenizers.PATTERN)
+    assert e.encode(text).tolist() == own.encode_ordinary(text)
+    assert e.decode(e.encode(text)) == text.encode()
+
+
+def test_bpe_spaces_marks_and_long_runs(own, monkeypatch):
+    e = bpe.encoder(queries.VOCABULARY, public_tokenizers.PATTERN)
+    every = "".join(f"a{chr(c)}{chr(c)}b" for c in (*range(1, 0x180), 0x85, 0xA0, 0x1680, *range(0x2000, 0x2030), 0x2028, 0x3000, 0xFEFF))
+    for text in (every, "a" * 5000, "ab" * 3000 + "%" * 999, " " * 500 + "x", "it's we'll <|endoftext|> 1234 ½"):
+        assert e.encode(text).tolist() == own.encode_ordinary(text)
+    monkeypatch.setattr(bpe, "STRETCH", 7)
+    for text in (every, "word  word ,word\n word   a1 b ' s  "):
+        assert e.encode(text).tolist() == own.encode_ordinary(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(data=st.binary(max_size=300), new=st.binary(max_size=12), a=st.integers(0, 300), b=st.integers(0, 12))
+def test_prefix_table_appends_and_edits(data, new, a, b):
+    v = bpe.encoder(queries.VOCABULARY, public_tokenizers.PATTERN).vocabulary
+    whole = bpe.PrefixTable(v, data)
+    grown = bpe.PrefixTable(v)
+    for i in range(0, len(data), 7):
+        grown.append(data[i : i + 7])
+    assert grown.last == whole.last
+    if len(data) <= 60:
+        assert whole.tokens() == v.merge(data)
+    start = min(a, len(data))
+    end = min(start + b, len(data))
+    whole.edit(start, end, new)
+    assert whole.last == bpe.PrefixTable(v, data[:start] + new + data[end:]).last
+
+
+def test_bpe_frame(docs, none, own):
+    args = queries.VOCABULARY, public_tokenizers.PATTERN
+    for r in bpe.encode_texts(docs, *args, ids=True).collect():
+        ids = own.encode_ordinary(r.text or "")
+        assert r.token_ids == ids and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert bpe.encode_texts(none, *args).count() == 0
+
+
+def test_suffix_automaton_parses_greedily():
+    text, query = "abracadabra", "abrabracadazzra"
+    m = langid.Model({"x": text})
+    n, i = 0, 0
+    while i < len(query):
+        j = i + 1
+        while j < len(query) and query[i : j + 1] in text:
+            j += 1
+        n, i = n + 1, j
+    assert m.phrases([m.codes(langid.fold(query))])[0, 0] == n
+
+
+def test_language_id(spark, docs, none):
+    sf = "/root/testdata/sf0.01"
+    held = queries.op8_language_id(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in held) > 0.95 * len(held)
+    out = langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), langid.fit_samples(docs.where(langid.learned()))).collect()
+    assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    assert all(r.lang_pred == "und" for r in langid.predict(docs.select("doc_id", "text"), {}).collect())
+    assert langid.fit_samples(none) == {} and langid.predict(none.select("doc_id", "text"), {"x": "y"}).count() == 0
+
+
+def brute_simhash(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
+
+
+def components(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x] = root[root[x]]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash_frame(docs, none):
+    rows = docs.collect()
+    fps = [brute_simhash(r.text) for r in rows]
+    comp = components(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2])
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        if r.doc_id is not None:
+            least[comp[i]].append(r.doc_id)
+    want = Counter((r.doc_id, f"{fps[i]:016x}", min(least[comp[i]], default=None)) for i, r in enumerate(rows))
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == want
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_links_lose_no_pair(spark):
+    r = random.Random(5)
+    fps = {0, 1, 3, 2**63, 2**64 - 1}
+    for _ in range(60):
+        x = r.getrandbits(64)
+        for _ in range(r.randrange(1, 8)):
+            fps.add(x)
+            for _ in range(r.randrange(0, 4)):
+                x ^= 1 << r.randrange(64)
+    fps = sorted(fps)
+    want = components(fps, [(a, b) for i, a in enumerate(fps) for b in fps[:i] if bin(a ^ b).count("1") <= 2])
+    links = simhash.near_links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long"))
+    pairs = [(x.src % 2**64, x.dst % 2**64) for x in links.collect()]
+    assert all(bin(a ^ b).count("1") <= 2 for a, b in pairs)
+    assert components(fps, pairs) == want
+    roots = {x.id % 2**64: x.root for x in connected_components(links).collect()}
+    for a in fps:
+        for b in fps:
+            assert (want[a] == want[b]) == (a == b or (a in roots and b in roots and roots[a] == roots[b]))
+
+
+def test_masks_cover_every_pair_of_positions():
+    masks = simhash.covering_masks()
+    assert len(masks) == 7
+    assert all(any(not m >> i & 1 and not m >> j & 1 for m in masks) for i in range(64) for j in range(64))
+
+
+def test_sharding(spark, docs, none):
+    rows = [(i, f"copy {i % 7}" if i % 3 == 0 else ("flood" if i % 3 == 1 else f"own {i}")) for i in range(900)]
+    for frame in (spark.createDataFrame(rows, "doc_id long, text string"), docs):
+        out = sharding.shard(frame)
+        got = out.collect()
+        assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in frame.collect())
+        sizes = Counter(r.shard for r in got)
+        assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
+        assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+    flood = Counter(r.shard for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["size"] == 6)
+    assert len(flood) <= 4  # 300 copies, 112 or 113 rows a shard
+    assert sharding.shard(none).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|user|> hey"), (1, 3, "ann", None), (1, 3, "ann", None), (1, None, None, "late"), (None, 0, "ann", "x"), (2, 0, "system", "only"), (3, 700, "ann", "far"), (3, 1, "bob", "near")]
+    out = {(r.conv_id, r.segment, r.perspective): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == {(1, s, p) for s in (0, -1) for p in ("ann", "bob", "unknown")} | {(None, 0, "ann")} | {(3, s, p) for s in (0, 1) for p in ("ann", "bob")}
+    r = out[1, 0, "ann"]
+    assert r.rendered == "<|system|>rules<|end|>\n<|assistant|>hi<|end|>\n<|user name=bob|>< |user|> hey<|end|>\n" + "<|assistant|><|end|>\n" * 2
+    assert [r.rendered[s.start : s.end] for s in r["mask"]] == ["hi<|end|>\n", "<|end|>\n", "<|end|>\n"] and (r.n_messages, r.n_trained) == (5, 3)
+    assert out[3, 1, "bob"]["mask"] == [] and out[1, -1, "unknown"].rendered == "<|assistant|>late<|end|>\n"
+    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_media(spark):
+    r = np.random.RandomState(3)
+    pictures = [media.resize(r.rand(12, 12) * 200 + 20, 96, 96) for _ in range(8)]
+    rows = [(i, media.encode(p)) for i, p in enumerate(pictures)]
+    rows += [(100 + i, media.encode(p[8:80, 10:88])) for i, p in enumerate(pictures)]
+    rows += [(200 + i, media.encode(p * 0.8 + 25)) for i, p in enumerate(pictures)]
+    rows += [(300, rows[0][1]), (301, rows[0][1]), (400, None), (401, b""), (402, b"P5 9 9 255\nshort"), (403, media.encode(np.full((60, 60), 7.0)))]
+    out = {x.id: x for x in media.copies(spark.createDataFrame(rows, "id long, picture binary"), "id", "picture").collect()}
+    want = {i: i % 100 if i < 300 else 0 if i < 400 else i for i, _ in rows}
+    hit = sum(out[i].group_id == g for i, g in want.items() if 100 <= i < 300)
+    assert hit >= 0.9 * 16
+    assert all(out[i].group_id in (g, i) for i, g in want.items())  # never with another picture
+    assert len(out) == len(rows) and all(out[i].n_keypoints == 0 for i in (400, 401, 402, 403))
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline
+
+    now = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, "").collect(), now.schema)
+        assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    assert stage_last(corpus_pipeline, spark, now) == now.count() > 0
+
+
+def stage_last(module, spark, now):
+    return module.STAGES[-1][1](spark, now, "").count()
