@@ -338,7 +338,7 @@ def test_sharding(spark, docs, none):
         assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
         assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
     flood = Counter(r.shard for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["size"] == 6)
-    assert len(flood) <= 4  # 300 copies, 112 or 113 rows a shard
+    assert sum(n for _, n in flood.most_common(3)) >= 0.95 * 300  # 300 copies, 112 or 113 rows a shard
     assert sharding.shard(none).count() == 0
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .storage import discard, materialise
 
-SHARDS, ROUNDS, PER_BUCKET = 8, 8, 20_000
+SHARDS, ROUNDS, PER_BUCKET = 8, 6, 20_000
 
 
 def _pick(values: list, at: Column) -> Column:

@@ -110,19 +110,13 @@ def _pack(n_buckets: int, window: int):
     return pack
 
 
-def _find(table: pa.Table) -> pa.Table:
-    """The windows of one bucket that occur twice or more: their documents and places."""
+def _find(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of one bucket that occur twice or more: the key of their document and their place in it."""
     parts = []
     for r in table.to_pylist():
         keys = np.frombuffer(r["keys"], np.int64)
         n = len(r["once"]) // 7
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["places"]), np.uint8)
-        total = len(raw) // 4 - len(keys)
-        lengths, gaps = _unsqueeze(r["places"], len(keys), total)
-        ends = np.cumsum(lengths)
-        sums = np.cumsum(gaps.astype(np.int64))
-        base = np.r_[0, sums[ends[:-1].astype(np.int64) - 1]] if len(keys) else np.zeros(0, np.int64)
-        place = (sums - np.repeat(base, lengths)).astype(np.uint32)
+        lengths, place = _places(keys, r["places"])
         parts.append((keys, lengths, place, n, np.frombuffer(r["once"] + r["more"], np.uint8).reshape(-1, 7), r["settled"]))
     every = np.zeros((sum(len(p[4]) for p in parts), 8), np.uint8)
     at = 0
@@ -136,20 +130,59 @@ def _find(table: pa.Table) -> pa.Table:
     twice = np.zeros(len(every), bool)
     twice[order[same]] = True
     # what stands for a window repeated in one chunk is met by its own settled row; here it only marks the others
-    out_key: list[np.ndarray] = []
-    out_pos: list[bytes] = []
+    hits: list[tuple[np.ndarray, np.ndarray]] = []
     at = 0
     for keys, lengths, place, n, both, settled in parts:
         hit = np.ones(len(place), bool) if settled else twice[at : at + n]
         at += len(both)
-        if not hit.any():
-            continue
-        key = np.repeat(keys, lengths)[hit]
-        kept = place[hit]
-        starts, sizes = _runs(key)
-        out_key.append(key[starts])
-        out_pos += [kept[s : s + m].tobytes() for s, m in zip(starts, sizes, strict=True)]
-    return pa.table({"k": pa.array(np.concatenate(out_key) if out_key else np.zeros(0, np.int64), pa.int64()), "places": pa.array(out_pos, pa.binary())})
+        hits.append((np.repeat(keys, lengths)[hit], place[hit]))
+    return np.concatenate([k for k, _ in hits]), np.concatenate([p for _, p in hits])
+
+
+def _deal(n_buckets: int):
+    """A bucket's repeated windows, packed again by the bucket of their document: rows grow with buckets, never with documents."""
+
+    def deal(table: pa.Table) -> pa.Table:
+        key, place = _find(table)
+        to = (key.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32)
+        order = np.lexsort((place, key, to))
+        key, place, to = key[order], place[order], to[order]
+        starts, lengths = _runs(to)
+        keys, places = [], []
+        for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+            k, p = key[s : s + n], place[s : s + n].astype(np.int64)
+            first, sizes = _runs(k)
+            gaps = np.diff(p, prepend=0)
+            gaps[first] = p[first]
+            keys.append(k[first].tobytes())
+            places.append(_squeeze(sizes, gaps))
+        return pa.table({"bucket": pa.array(to[starts], pa.int32()), "keys": pa.array(keys, pa.binary()), "places": pa.array(places, pa.binary())})
+
+    return deal
+
+
+def _places(keys: np.ndarray, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Undo row(): lengths of the runs of each key, and all places."""
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    lengths, gaps = _unsqueeze(packed, len(keys), len(raw) // 4 - len(keys))
+    sums = np.cumsum(gaps.astype(np.int64))
+    ends = np.cumsum(lengths.astype(np.int64))
+    base = np.r_[0, sums[ends[:-1] - 1]] if len(keys) else np.zeros(0, np.int64)
+    return lengths, (sums - np.repeat(base, lengths)).astype(np.uint32)
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row for each document: the places of its repeated windows."""
+    found = []
+    for r in table.to_pylist():
+        keys = np.frombuffer(r["keys"], np.int64)
+        lengths, place = _places(keys, r["places"])
+        found.append((np.repeat(keys, lengths), place))
+    key, place = np.concatenate([k for k, _ in found]), np.concatenate([p for _, p in found])
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    starts, sizes = _runs(key)
+    return pa.table({"k": pa.array(key[starts], pa.int64()), "places": pa.array([place[s : s + n].tobytes() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)], pa.binary())})
 
 
 def _cut(window: int):
@@ -168,7 +201,7 @@ def _cut(window: int):
                         kept.append(b" ".join(words))
                         continue
                     change = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in places])).astype(np.int64)
+                    at = np.unique(np.frombuffer(places, np.uint32)).astype(np.int64)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + window, -1)
                     gone = np.cumsum(change[:-1]) > 0
@@ -192,7 +225,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
     n_buckets = max(shuffle_partitions(spark), total // 6 // PER_BUCKET)
     keyed = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
     packed = keyed.where(F.octet_length("text") >= 2 * window - 1).select("k", "text").mapInArrow(_pack(int(n_buckets), window), _PACKED)
-    found = packed.groupBy("bucket").applyInArrow(_find, "k long, places binary")
-    places = found.groupBy("k").agg(F.collect_list("places").alias("places"))
+    found = packed.groupBy("bucket").applyInArrow(_deal(int(n_buckets)), "bucket int, keys binary, places binary")
+    places = found.groupBy("bucket").applyInArrow(_gather, "k long, places binary")
     joined = keyed.join(places, "k", "left").select("doc_id", "text", "places")
     return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
