@@ -1,4 +1,438 @@
-"""Registered queries and the SQL that each is compared with."""
+"""Registered queries over the standard tables, each with the SQL that it is compared with where SQL can express it.
 
-QUERIES: dict = {}
+Roles of the tables: orders stand for classified units (entity: nation, period: quarter of the order), weekly revenue of regions
+for prices, events for scored articles, documents and pages for text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.functions.expressions import canonical_url, period, short_id
+from tidewater.operators import chunk, classify, docquality, extract, panel, reconcile, relational, timeseries
+from tidewater.sources.readers import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
+    """Doubles rounded, without negative zeros; dates as text, which both engines hand over alike."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes])
+
+
+# units --------------------------------------------------------------------------------------------------------------
+
+UNITS = """units AS (SELECT o_orderkey AS doc_id, n_name AS ticker, year(o_orderdate)::VARCHAR || 'Q' || quarter(o_orderdate)::VARCHAR AS period,
+  CASE o_orderstatus WHEN 'F' THEN 'substantive' WHEN 'O' THEN 'none' ELSE 'incidental' END AS ai_relevance,
+  CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' ELSE 'low' END AS materiality,
+  (o_orderkey + o_custkey) % 5 - 2 AS valence_ai, 'sec_filing' AS source_category, c_mktsegment AS section_name,
+  CASE (o_orderkey % 5) WHEN 0 THEN 'E_none' WHEN 1 THEN 'D_negative_exposure' ELSE 'A_builder' END AS ai_role, o_totalprice AS price, (o_orderkey % 3 = 0) AS lexicon_hit, (o_orderkey % 100) / 100.0e0 AS confidence
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+SAL = """sal0 AS (SELECT ticker, period, count(*) AS n_units, sum(CASE WHEN ai_relevance = 'substantive' THEN 1 ELSE 0 END) AS n_substantive, sum(1.0e0) AS den,
+  sum(CASE WHEN ai_relevance = 'substantive' THEN CASE materiality WHEN 'high' THEN 1.0e0 WHEN 'medium' THEN 0.6e0 ELSE 0.2e0 END ELSE 0.0e0 END) AS num FROM units GROUP BY ALL),
+sal1 AS (SELECT *, coalesce(num / nullif(den, 0), 0) AS salience_raw FROM sal0),
+sal2 AS (SELECT *, coalesce(avg(salience_raw) OVER (PARTITION BY ticker ORDER BY period ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), avg(salience_raw) OVER (PARTITION BY ticker)) AS prior, n_units / (n_units + 10.0e0) AS lam FROM sal1),
+sal AS (SELECT *, lam * salience_raw + (1 - lam) * prior AS salience_shrunk FROM sal2)"""
+VAL = """val0 AS (SELECT ticker, period, count(*) AS n_substantive, sum(w) AS wsum, sum(w * valence_ai) AS vsum FROM (SELECT *, CASE materiality WHEN 'high' THEN 1.0e0 WHEN 'medium' THEN 0.6e0 ELSE 0.2e0 END AS w FROM units WHERE ai_relevance = 'substantive') GROUP BY ALL),
+val AS (SELECT *, coalesce(vsum / nullif(wsum, 0), 0) AS valence_raw, n_substantive / (n_substantive + 10.0e0) AS lam_v, n_substantive / (n_substantive + 10.0e0) * coalesce(vsum / nullif(wsum, 0), 0) AS valence_shrunk FROM val0)"""
+INDEX = """idx0 AS (SELECT sal.*, coalesce(valence_shrunk, 0) AS valence_shrunk, salience_shrunk * coalesce(valence_shrunk, 0) AS aia FROM sal LEFT JOIN val USING (ticker, period)),
+idx AS (SELECT *, coalesce((aia - avg(aia) OVER p) / nullif(stddev_pop(aia) OVER p, 0), 0) AS aia_z, coalesce((salience_shrunk - avg(salience_shrunk) OVER p) / nullif(stddev_pop(salience_shrunk) OVER p, 0), 0) AS salience_z,
+  salience_shrunk - median(salience_shrunk) OVER p AS excess_salience FROM idx0 WINDOW p AS (PARTITION BY period))"""
+BASE = f"WITH {UNITS}"
+FULL = f"WITH {UNITS}, {SAL}, {VAL}, {INDEX}"
+R8 = lambda *cs: ", ".join(f"round({c}, 8) + 0e0 AS {c}" for c in cs)
+
+
+def units(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("o_orderkey")
+    return o.select(
+        key.alias("doc_id"), F.col("n_name").alias("ticker"), period("o_orderdate").alias("period"),
+        F.when(F.col("o_orderstatus") == "F", "substantive").when(F.col("o_orderstatus") == "O", "none").otherwise("incidental").alias("ai_relevance"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "high").when(F.col("o_orderpriority") == "3-MEDIUM", "medium").otherwise("low").alias("materiality"),
+        ((key + F.col("o_custkey")) % 5 - 2).alias("valence_ai"), F.lit("sec_filing").alias("source_category"), F.col("c_mktsegment").alias("section_name"),
+        F.when(key % 5 == 0, "E_none").when(key % 5 == 1, "D_negative_exposure").otherwise("A_builder").alias("ai_role"), F.col("o_totalprice").alias("price"), (key % 3 == 0).alias("lexicon_hit"), ((key % 100) / F.lit(100.0)).alias("confidence"),
+    )
+
+
+def index(spark: SparkSession, d: str) -> DataFrame:
+    return panel.exposure_index(units(spark, d))
+
+
+@query(f"WITH {UNITS}, {SAL} SELECT ticker, period, n_units, n_substantive::BIGINT AS n_substantive, {R8('den', 'num', 'salience_raw')} FROM sal")
+def salience_raw(spark, d):
+    return rounded(panel.raw_salience(units(spark, d)))
+
+
+@query(f"WITH {UNITS}, {SAL} SELECT ticker, period, {R8('prior', 'lam', 'salience_shrunk')} FROM sal")
+def salience_shrunk(spark, d):
+    return rounded(panel.shrink_salience(panel.raw_salience(units(spark, d))).select("ticker", "period", "prior", "lam", "salience_shrunk"))
+
+
+@query(f"WITH {UNITS}, {VAL} SELECT ticker, period, n_substantive, {R8('wsum', 'vsum', 'valence_raw')} FROM val")
+def valence_raw(spark, d):
+    return rounded(panel.raw_valence(units(spark, d)))
+
+
+@query(f"WITH {UNITS}, {VAL} SELECT ticker, period, {R8('lam_v', 'valence_shrunk')} FROM val")
+def valence_shrunk(spark, d):
+    return rounded(panel.shrink_valence(panel.raw_valence(units(spark, d))).select("ticker", "period", "lam_v", "valence_shrunk"))
+
+
+@query(f"{FULL} SELECT ticker, period, {R8('salience_shrunk', 'valence_shrunk', 'aia', 'aia_z', 'salience_z', 'excess_salience')} FROM idx")
+def aia_index(spark, d):
+    return rounded(index(spark, d).select("ticker", "period", "salience_shrunk", "valence_shrunk", "aia", "aia_z", "salience_z", "excess_salience"))
+
+
+@query(f"{FULL} SELECT ticker, period, {R8('aia', 'aia_z')} FROM idx WHERE period = (SELECT max(period) FROM idx)")
+def current_ranking(spark, d):
+    return rounded(panel.current_ranking(index(spark, d)).select("ticker", "period", "aia", "aia_z"))
+
+
+@query(f"""{FULL}, last AS (SELECT DISTINCT period FROM idx ORDER BY period DESC LIMIT 4)
+SELECT ticker, round(avg(salience_shrunk), 6) AS salience, round(avg(valence_shrunk), 6) AS valence, round(avg(aia), 6) AS aia, round(avg(aia_z), 6) AS aia_z, sum(n_substantive)::BIGINT AS n_substantive FROM idx SEMI JOIN last USING (period) GROUP BY ticker""")
+def trailing_ranking(spark, d):
+    return rounded(panel.trailing_ranking(index(spark, d), digits=12), 6)
+
+
+@query(f"WITH {UNITS}, {SAL} SELECT count(*) AS n_cells, count(*) FILTER (WHERE n_units < 10) AS n_thin, round(median(abs(salience_shrunk - salience_raw)), 8) AS median_move, round(max(abs(salience_shrunk - salience_raw)), 8) AS max_move FROM sal")
+def coverage_check(spark, d):
+    return rounded(panel.coverage_check(panel.shrink_salience(panel.raw_salience(units(spark, d)))))
+
+
+@query(f"{BASE} SELECT section_name, round_even(avg(valence_ai), 2) + 0e0 AS mean_valence, count(*) AS n FROM units WHERE ai_relevance = 'substantive' GROUP BY ALL HAVING count(*) >= 15")
+def section_evidence(spark, d):
+    return rounded(panel.section_evidence(units(spark, d)))
+
+
+# counting and ordering ----------------------------------------------------------------------------------------------
+
+
+@query(f"{BASE} SELECT ticker, count(*) FILTER (WHERE lexicon_hit) AS hits, count(*) AS n, round(avg(lexicon_hit::INT), 8) AS rate FROM units GROUP BY ALL HAVING count(*) >= 20")
+def hit_rate(spark, d):
+    return rounded(relational.hit_rates(units(spark, d), "ticker", "lexicon_hit"))
+
+
+@query(f"{BASE} SELECT ticker, count(*) FILTER (WHERE ai_relevance = 'substantive') AS substantive, count(*) FILTER (WHERE ai_relevance = 'none') AS none, count(*) FILTER (WHERE ai_relevance = 'incidental') AS incidental FROM units GROUP BY ticker")
+def crosstab_pivot(spark, d):
+    return relational.crosstab(units(spark, d), "ticker", "ai_relevance", ["substantive", "none", "incidental"])
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def value_counts(spark, d):
+    return relational.value_counts(table(spark, d, "documents"), "source")
+
+
+@query("SELECT lang, count(*) AS n, median(n_chars)::DOUBLE AS median, sum(n_chars)::BIGINT AS total, quantile_cont(n_chars, 0.25)::DOUBLE AS p25, quantile_cont(n_chars, 0.75)::DOUBLE AS p75, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang")
+def form_stats(spark, d):
+    return relational.form_stats(table(spark, d, "documents"), "lang", "n_chars")
+
+
+@query("SELECT user_id, count(*) AS n, min(ts) AS earliest, max(ts) AS latest, date_sub('day', min(ts), max(ts)) AS days, min(ts) < TIMESTAMP '2024-01-02 00:00:00' AS reaches FROM events GROUP BY user_id")
+def coverage_span(spark, d):
+    return relational.coverage_span(table(spark, d, "events"), "user_id", "ts", "2024-01-02 00:00:00")
+
+
+@query("SELECT user_id, day::VARCHAR AS day, event_id, value FROM (SELECT user_id, ts::DATE AS day, event_id, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY value DESC NULLS LAST, event_id) AS r FROM events) WHERE r <= 10")
+def topn_per_cell(spark, d):
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "value")
+    return rounded(relational.top_n_per_group(e, ["user_id", "day"], [F.col("value").desc_nulls_last(), F.col("event_id")], 10))
+
+
+@query("SELECT user_id, ts::DATE::VARCHAR AS day, count(*) AS n_available, least(count(*), 3) AS n_kept, count(*) < 3 AS short FROM events GROUP BY ALL")
+def cell_audit(spark, d):
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"))
+    return rounded(relational.cell_audit(e, ["user_id", "day"], 3).withColumn("n_kept", F.col("n_kept").cast("long")))
+
+
+@query("(SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 4) UNION (SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal, s_suppkey LIMIT 4)")
+def top_bottom_k(spark, d):
+    return relational.top_and_bottom(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", 4, "s_suppkey")
+
+
+@query(f"{BASE} SELECT doc_id, ai_relevance, ai_role, confidence FROM (SELECT *, row_number() OVER (PARTITION BY ai_relevance, ai_role ORDER BY confidence DESC, doc_id) AS r FROM units) WHERE r <= 3")
+def representative_topk(spark, d):
+    return classify.representative(units(spark, d).withColumn("gated_out", F.lit(False))).select("doc_id", "ai_relevance", "ai_role", "confidence")
+
+
+@query("SELECT sha256(text) AS content_sha256, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_content(spark, d):
+    return relational.duplicate_content(table(spark, d, "documents"), F.col("text"), "doc_id")
+
+
+@query("SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def dedup_exact(spark, d):
+    docs = table(spark, d, "documents").withColumn("h", F.sha2("text", 256)).select("h", "doc_id", "source", "n_chars")
+    return relational.first_per_key(docs, ["h"], [F.col("doc_id")]).drop("h")
+
+
+@query("SELECT o_orderkey, o_custkey, 'new' AS _diff FROM orders WHERE o_orderkey % 7 <> 0 AND NOT o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, o_custkey, 'missing' FROM orders WHERE o_orderkey % 5 <> 0 AND NOT o_orderkey % 7 <> 0")
+def index_diff(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return relational.table_diff(o.where("o_orderkey % 7 <> 0"), o.where("o_orderkey % 5 <> 0"), ["o_orderkey"])
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
+b AS (SELECT page_id, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://)', 1) AS scheme, regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '\?.*$', '') AS rest, regexp_extract(u, '\?(.*)$', 1) AS q FROM a),
+c AS (SELECT *, list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'guccounter'], string_split(x, '=')[1])) AS kv FROM b)
+SELECT page_id, lower(scheme) || lower(regexp_extract(rest, '^[^/]*')) || regexp_replace(regexp_replace(rest, '^[^/]*', ''), '/+$', '') || CASE WHEN len(kv) > 0 THEN '?' || array_to_string(kv, '&') ELSE '' END AS canonical FROM c""")
+def canonical_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", canonical_url("url").alias("canonical"))
+
+
+@query("SELECT o_orderkey, substr(sha256(o_orderkey::VARCHAR || ':' || o_custkey::VARCHAR), 1, 16) AS doc_id FROM orders")
+def document_ids(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", short_id(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")).alias("doc_id"))
+
+
+@query("SELECT start::DATE::VARCHAR AS start, year(start)::VARCHAR || 'Q' || quarter(start)::VARCHAR AS period FROM (SELECT unnest(generate_series(TIMESTAMP '2023-01-01', TIMESTAMP '2026-07-01', INTERVAL 3 MONTH)) AS start)")
+def quarter_series(spark, d):
+    return rounded(relational.quarters(spark, "2023-01-01", "2026-07-01"))
+
+
+@query("SELECT event_type AS task, CASE WHEN user_id % 2 = 0 THEN 'm0' ELSE 'm1' END AS model, count(*) AS calls, sum(event_id % 1000)::BIGINT AS input, sum(event_id % 77)::BIGINT AS output, round(sum((event_id % 1000 * CASE WHEN user_id % 2 = 0 THEN 1.0e0 ELSE 3.0e0 END + event_id % 77 * CASE WHEN user_id % 2 = 0 THEN 5.0e0 ELSE 15.0e0 END) / 1e6 * CASE WHEN event_id % 3 = 0 THEN 0.5e0 ELSE 1.0e0 END), 8) AS usd FROM events GROUP BY ALL UNION ALL SELECT 'TOTAL', NULL, count(*), sum(event_id % 1000)::BIGINT, sum(event_id % 77)::BIGINT, round(sum((event_id % 1000 * CASE WHEN user_id % 2 = 0 THEN 1.0e0 ELSE 3.0e0 END + event_id % 77 * CASE WHEN user_id % 2 = 0 THEN 5.0e0 ELSE 15.0e0 END) / 1e6 * CASE WHEN event_id % 3 = 0 THEN 0.5e0 ELSE 1.0e0 END), 8) FROM events")
+def cost_summary(spark, d):
+    log = table(spark, d, "events").selectExpr("event_type AS task", "CASE WHEN user_id % 2 = 0 THEN 'm0' ELSE 'm1' END AS model", "event_id % 1000 AS input", "event_id % 77 AS output", "event_id % 3 = 0 AS batch")
+    return rounded(relational.cost_summary(log, {"m0": (1.0, 5.0), "m1": (3.0, 15.0)}))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# text ---------------------------------------------------------------------------------------------------------------
+
+#: A lexicon of words that occur in the synthetic documents; the theme's own terms don't.
+FIXTURE_TERMS = ("the and", "worthless", "pathetic", "liberté", "que le", "der die", "inger")
+_HAS = ", ".join(f"CASE WHEN regexp_matches(' ' || lower(text) || ' ', '(^|[^\\p{{L}}\\p{{N}}_]){t}($|[^\\p{{L}}\\p{{N}}_])') THEN '{t}' END" for t in FIXTURE_TERMS)
+
+
+def flagged(spark, d):
+    return classify.flag(table(spark, d, "documents"), ["text"], FIXTURE_TERMS, "")
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_filter([{_HAS}], lambda x: x IS NOT NULL)), '|') AS terms FROM documents")
+def lexicon_flag(spark, d):
+    return flagged(spark, d).select("doc_id", F.array_join("lexicon_terms", "|").alias("terms"))
+
+
+@query(f"SELECT term, count(*) AS n FROM (SELECT unnest([{_HAS}]) AS term FROM documents) WHERE term IS NOT NULL GROUP BY term")
+def term_frequency(spark, d):
+    return relational.term_frequency(flagged(spark, d), "lexicon_terms")
+
+
+@query(f"""WITH f AS (SELECT doc_id, len(list_filter([{_HAS}], lambda x: x IS NOT NULL)) > 0 AS hit FROM documents)
+SELECT f.doc_id, CASE WHEN toxic IS NOT NULL AND hit THEN CASE toxic WHEN 1 THEN 'substantive' ELSE 'none' END WHEN NOT hit THEN 'none' END AS ai_relevance, NOT hit AS gated_out FROM f LEFT JOIN labels USING (doc_id)""")
+def gated_merge(spark, d):
+    labels = table(spark, d, "labels")
+
+    def rule(sent: DataFrame) -> DataFrame:
+        got = sent.select("doc_id").join(labels, "doc_id").withColumn("ai_relevance", F.when(F.col("toxic") == 1, "substantive").otherwise("none"))
+        return got.select("doc_id", "ai_relevance", F.lit("A").alias("ai_role"), F.lit("high").alias("materiality"), F.lit(1).alias("valence_ai"), F.lit(0.9).alias("confidence"), F.lit("").alias("evidence_span"))
+
+    return classify.classify(flagged(spark, d), rule).select("doc_id", "ai_relevance", "gated_out")
+
+
+@query("SELECT (SELECT count(*) FROM labels) AS n, (SELECT avg((quality = toxic)::INT) FROM labels) AS agreement, (WITH t AS (SELECT count(*)::DOUBLE AS n, avg((quality = toxic)::INT) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels) SELECT round_even((po - pe) / (1 - pe), 3) FROM t) AS kappa")
+def kappa_agreement(spark, d):
+    return classify.kappa(table(spark, d, "labels"), "quality", "toxic")
+
+
+@query(f"""{BASE}, s AS (SELECT *, CASE WHEN ai_role = 'D_negative_exposure' AND valence_ai > 0 THEN 'negative role, positive valence' WHEN ai_relevance = 'none' AND (ai_role <> 'E_none' OR valence_ai <> 0) THEN 'relevance none but role/valence set'
+  WHEN ai_relevance = 'substantive' AND ai_role = 'E_none' THEN 'substantive but no role' WHEN ai_relevance = 'substantive' AND NOT lexicon_hit THEN 'substantive with no AI term in the text' END AS why FROM units)
+SELECT doc_id, why FROM s WHERE why IS NOT NULL""")
+def contradictions(spark, d):
+    return classify.contradictions(units(spark, d).withColumn("gated_out", F.lit(False))).select("doc_id", "why")
+
+
+@query(f"{BASE} SELECT count(*) AS n_hit, count(*) FILTER (WHERE ai_relevance <> 'substantive') AS n_demoted, round_even(count(*) FILTER (WHERE ai_relevance <> 'substantive') / count(*), 3) AS separation_rate FROM units WHERE lexicon_hit")
+def buzzword_trap(spark, d):
+    return classify.buzzword_trap(units(spark, d).withColumn("gated_out", F.lit(False)))
+
+
+@query(f"{BASE} SELECT count(*) AS n, 0::BIGINT AS n_gated, count(*) AS n_model, 0::BIGINT AS n_failed, round(avg((valence_ai < 0)::INT), 8) AS negative_share, round(avg((ai_relevance = 'substantive')::INT), 8) AS substantive_share FROM units")
+def audit(spark, d):
+    return rounded(classify.audit(units(spark, d).withColumn("gated_out", F.lit(False))))
+
+
+def _checked(spark, d):
+    return docquality.check_documents(table(spark, d, "documents").select("doc_id", "text", F.lit("8-K").alias("form"), F.lit("primary").alias("doc_role")))
+
+
+_QC = r"""q AS (SELECT doc_id, text, length(text) AS n_chars, list_filter(regexp_split_to_array(text, '[\s]+'), lambda x: x <> '') AS w, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''\-]*') AS a FROM documents),
+qc AS (SELECT doc_id, n_chars, len(w) AS n_words, length(regexp_replace(text, '[^\p{L}]', '', 'g')) / n_chars AS alpha, list_sum(list_transform(w, lambda x: length(x))) / len(w) AS mean_len,
+  coalesce(len(list_filter(a, lambda x: length(x) = 1 AND x NOT IN ('a', 'A', 'I'))) / nullif(len(a), 0), 0) AS frag, regexp_matches(text, '&[a-zA-Z]{2,8};|&#[0-9]{2,5};') AS entity_residue FROM q)"""
+
+
+@query(f"WITH {_QC} SELECT doc_id, n_chars::INT AS n_chars, n_words::INT AS n_words, round_even(alpha, 3) AS alpha_ratio, round_even(mean_len, 2) AS mean_word_len, round_even(frag, 4) AS fragment_rate, entity_residue, n_words < 50 AS near_empty, NOT n_chars BETWEEN 1000 AND 60000 AS size_outlier, alpha < 0.5 AS low_alpha, NOT mean_len BETWEEN 3.5e0 AND 7.0e0 AS odd_word_len, frag > 0.05e0 AS fragmented FROM qc")
+def doc_quality(spark, d):
+    return _checked(spark, d).select("doc_id", "n_chars", "n_words", "alpha_ratio", "mean_word_len", "fragment_rate", "entity_residue", "near_empty", "size_outlier", "low_alpha", "odd_word_len", "fragmented")
+
+
+@query(f"WITH {_QC} SELECT count(*) AS n_documents, count(*) FILTER (WHERE n_words < 50) AS near_empty, count(*) FILTER (WHERE NOT n_chars BETWEEN 1000 AND 60000) AS size_outlier, count(*) FILTER (WHERE frag > 0.05e0) AS fragmented FROM qc")
+def qc_rollup(spark, d):
+    return docquality.roll_up(_checked(spark, d)).select("n_documents", "near_empty", "size_outlier", "fragmented")
+
+
+def _extracted(spark, d):
+    return extract.extract_documents(table(spark, d, "pages").withColumn("raw", F.encode("html", "utf-8")), "raw", None, ["page_id"]).withColumnRenamed("page_id", "doc_id")
+
+
+@query()
+def html_extract(spark, d):
+    return _extracted(spark, d).select("doc_id", "n_chars", "n_words", "n_tokens_est", "n_tables", "n_tables_numeric", F.sha2("text", 256).alias("text_sha256"), F.size("warnings").alias("n_warnings"))
+
+
+@query()
+def cross_extractor(spark, d):
+    return docquality.cross_check(_extracted(spark, d)).select("doc_id", "jaccard", "retention", "content_loss", "below_floor")
+
+
+@query()
+def chunks(spark, d):
+    plain = table(spark, d, "documents").select("doc_id", "text", F.array().cast("array<struct<start:long,end:long,n_rows:long,n_cols:long,numeric_frac:double>>").alias("table_spans"), F.array().cast("array<struct<item:string,start:long,end:long>>").alias("section_spans"))
+    return chunk.chunk_documents(plain).drop("text")
+
+
+# prices -------------------------------------------------------------------------------------------------------------
+
+PRICES = """px AS (SELECT r_name AS ticker, date_trunc('week', o_orderdate)::DATE AS date, sum(o_totalprice) AS price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+rets AS (SELECT ticker, date, price, price / lag(price) OVER w - 1 AS ret, date - lag(date) OVER w AS gap FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date))"""
+PAIR = "pair AS (SELECT a.ticker, a.date, a.ret AS y, b.ret AS x FROM rets a JOIN rets b ON a.date = b.date AND b.ticker = 'ASIA' WHERE a.ticker <> 'ASIA' AND a.ret IS NOT NULL AND b.ret IS NOT NULL)"
+
+
+def returns_of(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    prices = o.groupBy(F.col("r_name").alias("ticker"), F.date_trunc("week", "o_orderdate").cast("date").alias("date")).agg(F.sum("o_totalprice").alias("price"))
+    return timeseries.simple_returns(prices)
+
+
+def pair_of(spark, d):
+    r = returns_of(spark, d).select("ticker", "date", "ret")
+    other = r.where("ticker = 'ASIA'").select("date", F.col("ret").alias("x"))
+    return r.where("ticker <> 'ASIA'").join(other, "date").select("ticker", "date", F.col("ret").alias("y"), "x").na.drop()
+
+
+@query(f"WITH {PRICES} SELECT ticker, date::VARCHAR AS date, round(ret, 8) + 0e0 AS ret FROM rets WHERE ret IS NOT NULL")
+def returns(spark, d):
+    return rounded(returns_of(spark, d).select("ticker", "date", "ret"))
+
+
+@query(f"WITH {PRICES} SELECT ticker, date::VARCHAR AS date, round(ret, 8) + 0e0 AS ret, nth FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date)::INT AS nth FROM rets WHERE abs(ret) > 0.25) WHERE nth <= 3")
+def extreme_moves(spark, d):
+    return rounded(timeseries.extreme_moves(returns_of(spark, d)).select("ticker", "date", "ret", "nth"))
+
+
+@query(f"WITH {PRICES}, g AS (SELECT ticker, date, date - lag(date) OVER (PARTITION BY ticker ORDER BY date) AS gap_days FROM rets WHERE ret IS NOT NULL) SELECT ticker, date::VARCHAR AS date, gap_days::INT AS gap_days FROM g WHERE gap_days > 5")
+def gap_check(spark, d):
+    return rounded(timeseries.gap_check(returns_of(spark, d)))
+
+
+@query(f"WITH {PRICES} SELECT date::VARCHAR AS date, round(avg(ret) FILTER (WHERE ticker IN ('EUROPE', 'AMERICA', 'AFRICA')) - max(ret) FILTER (WHERE ticker = 'ASIA'), 8) AS factor FROM rets WHERE ret IS NOT NULL GROUP BY rets.date HAVING factor IS NOT NULL")
+def basket_long_short(spark, d):
+    return rounded(timeseries.long_short(returns_of(spark, d), ["EUROPE", "AMERICA", "AFRICA"], "ASIA", ["MIDDLE EAST"]))
+
+
+@query(f"WITH {PRICES}, {PAIR} SELECT ticker, count(*) AS n_obs, round(regr_slope(y, x), 8) AS beta, round(regr_intercept(y, x), 8) AS alpha, round(regr_r2(y, x), 8) AS r2, round(corr(y, x), 8) AS corr FROM pair GROUP BY ticker")
+def ols_univariate(spark, d):
+    return rounded(timeseries.ols_one(pair_of(spark, d), "ticker", "y", "x"))
+
+
+@query(f"WITH {PRICES}, {PAIR} SELECT ticker, date::VARCHAR AS date, round(beta, 8) + 0e0 AS beta FROM (SELECT ticker, date, count(*) OVER w AS n, regr_slope(y, x) OVER w AS beta FROM pair WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 125 PRECEDING AND CURRENT ROW)) WHERE n = 126")
+def rolling_beta(spark, d):
+    return rounded(timeseries.rolling_one(pair_of(spark, d), "ticker", "y", "x"))
+
+
+@query(f"WITH {PRICES} SELECT ticker, round(avg(ret) * 252, 8) AS mean_ann, round(stddev_samp(ret) * sqrt(252), 8) AS vol_ann FROM rets WHERE ret IS NOT NULL GROUP BY ticker")
+def annualised(spark, d):
+    return rounded(timeseries.annualised(returns_of(spark, d), "ticker", "ret"))
+
+
+def design_of(spark, d):
+    r = returns_of(spark, d).select("ticker", "date", "ret")
+    wide = r.groupBy("date").pivot("ticker", ["ASIA", "AFRICA"]).agg(F.first("ret"))
+    return r.where("ticker not in ('ASIA', 'AFRICA')").join(wide, "date").select("ticker", "date", "ret", F.col("ASIA").alias("x1"), F.col("AFRICA").alias("x2"))
+
+
+@query()
+def ols_multivariate(spark, d):
+    return rounded(timeseries.regress(design_of(spark, d), "ticker", "ret", ["x1", "x2"], "x1"), 7)
+
+
+@query()
+def orthogonalised(spark, d):
+    return rounded(timeseries.orthogonalise(design_of(spark, d), "ticker", "ret", ["x1", "x2"]), 7)
+
+
+@query()
+def rolling_beta_multivariate(spark, d):
+    return rounded(timeseries.rolling_beta(design_of(spark, d), "ticker", "ret", ["x1", "x2"], "x1"), 7)
+
+
+@query()
+def sanity_gate(spark, d):
+    return timeseries.sanity_gate(timeseries.regress(design_of(spark, d), "ticker", "ret", ["x1", "x2"], "x1"), ["EUROPE"], ["AMERICA"]).select("ticker", "want", "ok", "passed")
+
+
+# reconciliation -----------------------------------------------------------------------------------------------------
+
+SCORES = "sc AS (SELECT n_name AS ticker, avg(o_totalprice) AS aia, count(*) AS n_substantive FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), mk AS (SELECT n_name AS ticker, avg(c_acctbal) AS ai_beta, stddev_pop(c_acctbal) / 2000 AS ai_t, max(c_custkey) % 20 AS max_vif FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), al0 AS (SELECT *, (aia - avg(aia) OVER ()) / stddev_pop(aia) OVER () AS semantic_z, (ai_beta - avg(ai_beta) OVER ()) / stddev_pop(ai_beta) OVER () AS beta_z FROM sc JOIN mk USING (ticker)), al AS (SELECT *, semantic_z - beta_z AS gap FROM al0)"
+
+
+def aligned(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("n_name").alias("ticker")).agg(F.avg("o_totalprice").alias("aia"), F.count("*").alias("n_substantive"))
+    market = c.groupBy(F.col("n_name").alias("ticker")).agg(F.avg("c_acctbal").alias("ai_beta"), (F.stddev_pop("c_acctbal") / 2000).alias("ai_t"), (F.max("c_custkey") % 20).alias("max_vif"))
+    return reconcile.align(text, market)
+
+
+@query(f"WITH {SCORES} SELECT ticker, {R8('semantic_z', 'beta_z', 'gap')} FROM al")
+def align_gap(spark, d):
+    return rounded(aligned(spark, d).select("ticker", "semantic_z", "beta_z", "gap"))
+
+
+@query(f"WITH {SCORES} SELECT ticker, round(gap, 8) AS gap, CASE WHEN gap > 0 THEN 'text > market' ELSE 'market > text' END AS direction, abs(ai_t) < 1.5 AS beta_weak, max_vif > 10 AS beta_collinear, n_substantive < 20 AS semantic_thin, abs(ai_t) < 1.5 OR max_vif > 10 OR n_substantive < 20 AS likely_measurement FROM al ORDER BY abs(gap) DESC LIMIT 3")
+def triage(spark, d):
+    return rounded(reconcile.triage(aligned(spark, d)).select("ticker", "gap", "direction", "beta_weak", "beta_collinear", "semantic_thin", "likely_measurement"))
+
+
+@query(f"WITH {SCORES}, r AS (SELECT rank() OVER (ORDER BY semantic_z) + (count(*) OVER (PARTITION BY semantic_z) - 1) / 2 AS a, rank() OVER (ORDER BY beta_z) + (count(*) OVER (PARTITION BY beta_z) - 1) / 2 AS b FROM al) SELECT round(corr(a, b), 8) AS rho, count(*) AS n FROM r")
+def spearman(spark, d):
+    return rounded(reconcile.spearman(aligned(spark, d), "semantic_z", "beta_z"))
+
+
+@query(f"WITH {SCORES} SELECT ticker, CASE WHEN aia >= (SELECT median(aia) FROM al) THEN 'high' ELSE 'low' END || CASE WHEN gap >= 0 THEN '/positive' ELSE '/negative' END AS quadrant FROM al")
+def quadrant_frame(spark, d):
+    return reconcile.quadrants(aligned(spark, d), "aia", "gap").select("ticker", "quadrant")
+
+
+@query(f"WITH {SCORES} SELECT ticker, {R8('semantic_z', 'beta_z')}, row_number() OVER (ORDER BY abs(gap) DESC) <= 3 AS flagged, round((SELECT 1.25 * max(greatest(abs(semantic_z), abs(beta_z))) FROM al), 8) AS axis_limit FROM al")
+def scatter_frame(spark, d):
+    return rounded(reconcile.scatter_frame(aligned(spark, d)))
+
+
+@query()
+def bootstrap_ci(spark, d):
+    return rounded(reconcile.bootstrap_ci(aligned(spark, d), "semantic_z", "beta_z", draws=500))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def windowed_events(spark, d):
+    e = table(spark, d, "events")
+    agg = e.groupBy(F.window(F.col("ts"), "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return agg.select(F.col("window.start").alias("start"), "event_type", "n", "total")
