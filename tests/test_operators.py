@@ -189,4 +189,4 @@ def test_samples_and_diffs(spark):
     a = relational.hashed_sample(df, ["g"], "id", 5).collect()
     assert len(a) == 15 and sorted(a) == sorted(relational.hashed_sample(df.repartition(7), ["g"], "id", 5).collect())
     d = relational.table_diff(df.where("id < 60"), df.where("id > 40"), ["id"]).groupBy("_diff").count().collect()
-    assert {r["_diff"]: r["count"] for r in d} == {"new": 41, "missing": 39}
+    assert {r["_diff"]: r["count"] for r in d} == {"new": 41, "missing": 40}  # 60 to 99
