@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from .words import slices
 
-#: Pieces remembered by a worker before it starts afresh; characters cut into pieces at once.
+#: Pieces remembered by a worker before they age, and again until they go; characters cut into pieces at once.
 REMEMBERED, STRETCH = 200_000, 1 << 20
 
 
@@ -94,6 +95,20 @@ class PrefixTable:
         v, last, length = self.vocabulary, self.last, self.vocabulary.length
         last += [-1] * (len(self.data) + 1 - len(last))
         back = max(0, first - v.longest)
+        if stop is None:  # the common case, with nothing but what it needs
+            pair, known = v.pair, v._pair.get
+            for at, t in v.ends.iter(self.data[back:].decode("latin-1")):
+                i = back + at + 1
+                if i < first or last[i] >= 0:
+                    continue
+                j = i - length[t]
+                if j:
+                    apart = known((last[j], t))
+                    if pair(last[j], t) if apart is None else apart:
+                        last[i] = t
+                elif v.whole(t):
+                    last[i] = t
+            return len(self.data) + 1
         done = checked = first - 1
         for at, t in v.ends.iter(self.data[back:].decode("latin-1")):
             i = back + at + 1
@@ -142,16 +157,18 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pieces = vocabulary, regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         """Token ids of one piece as packed int32."""
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens()
-        packed = np.array(ids, np.int32).tobytes()
-        if len(data) <= 64:
+        packed = self.older.get(piece)
+        if packed is None:
+            data = piece.encode()
+            whole = self.vocabulary.ranks.get(data)
+            packed = array("i", [whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens()).tobytes()
+        if len(piece) <= 64:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[piece] = packed
         return packed
 
