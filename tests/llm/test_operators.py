@@ -380,3 +380,39 @@ def test_pipeline_stages(spark, docs):
 
 def stage_last(module, spark, now):
     return module.STAGES[-1][1](spark, now, "").count()
+
+
+def shingles_of(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_jaccard_finds_every_planted_near_copy(spark):
+    import corpus_pipeline
+    from tidewater.llm import jaccard
+
+    r = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(40))
+    texts = []
+    for k in range(40):
+        w = [f"w{r.randrange(400)}" for _ in range(r.choice((3, 7, 12, 60, 300)))]
+        texts.append(" ".join(w))
+        for _ in range(r.randrange(6)):
+            w = list(w)
+            for _ in range(r.randrange(1, 1 + max(1, len(w) // 60) * 2)):
+                w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(w) + (" " + common if k % 5 == 0 else ""))
+    texts += [texts[0].upper(), None, "", "one", "One"]
+    rows = [(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)]
+    sets = [shingles_of(t) for t in texts]
+    want = components(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])])
+    assert len(set(want.values())) < len(rows) - 20
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {x.doc_id: x.component for x in jaccard.near_duplicates(frame).collect()}
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in got for j in got)
+    assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, frame, "").collect()} == set(want.values())
+    assert jaccard.near_duplicates(frame.limit(0)).count() == 0
