@@ -416,3 +416,19 @@ def test_jaccard_finds_every_planted_near_copy(spark):
     assert all((got[i] == got[j]) == (want[i] == want[j]) for i in got for j in got)
     assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, frame, "").collect()} == set(want.values())
     assert jaccard.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, part",
+    [
+        ("write to john [at] example.com now", "john [at] example.com"),
+        ("mail john (at) example.com", "john (at) example.com"),
+        ("so jane [dot] doe [at] example [dot] com it is", "jane [dot] doe [at] example [dot] com"),
+        ("so jane(dot)x.doe(at)example.com it is", "jane(dot)x.doe(at)example.com"),
+        ("ask ann dot b dot lee at example dot com", "ann dot b dot lee at example dot com"),
+        ("at this point jane at example dot com", "jane at example dot com"),
+    ],
+)
+def test_disguised_at_needs_no_other_cue(text, part):
+    at = text.index(part)
+    assert pii.find_spans(text) == [("email", at, at + len(part))]

@@ -176,7 +176,8 @@ _AT = rf"(?:\s{{0,2}}{_OPEN}\s{{0,2}}(?:{'|'.join(_AT_WORDS)}|@)\s{{0,2}}{_SHUT}
 _DOT = rf"(?:\s{{0,2}}{_OPEN}\s{{0,2}}(?:{'|'.join(_DOT_WORDS)}|\.)\s{{0,2}}{_SHUT}\s{{0,2}}|\s{{1,2}}(?:{'|'.join(_DOT_WORDS)})\s{{1,2}}|\s{{1,2}}\.\s{{1,2}}(?=[a-z]{{2,6}}\b)|\.)"
 _SIGN_AT, _SIGN_DOT, _LABEL = re.compile(_AT, re.I), re.compile(_DOT, re.I), re.compile(r"[A-Za-z0-9-]+")
 _AT_CUE = re.compile(rf"{_OPEN}\s{{0,2}}(?:{'|'.join(_AT_WORDS)}|@)\s{{0,2}}{_SHUT}|\s(?:{'|'.join(_AT_WORDS)})\s|@", re.I)
-_DOT_CUE = re.compile(rf"\b(?:{'|'.join(_DOT_WORDS)})\b|{_OPEN}\s{{0,2}}\.\s{{0,2}}{_SHUT}|@", re.I)
+#: A disguised dot of a local part, before the place where the search ends.
+_LOCAL_DOT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s{{0,2}}{_OPEN}\s{{0,2}}(?:{'|'.join(_DOT_WORDS)}|\.)\s{{0,2}}{_SHUT}\s{{0,2}}|\s{{1,2}}(?:{'|'.join(_DOT_WORDS)})\s{{1,2}})\Z", re.I)
 _OCTETS = re.compile(rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}", re.I)
 _HOST_END = re.compile(r"[A-Za-z]{2,24}\Z")
 #: Where a host may end if both its signs are bare words, which prose also has.
@@ -193,7 +194,6 @@ def _signs(tape: Tape) -> Iterator[tuple[int, int, str]]:
         sign = _SIGN_AT.match(text, at)
         if not sign or at < done or not at or text[at - 1] not in _LOCAL:
             continue
-        # the local part, whose own dots may be disguised, stands before; only the signs are rewritten
         plain, end, dots = sign.group() == "@", sign.end(), []
         label = _LABEL.match(text, end)
         bracketed = any(c in sign.group() for c in "[({<")
@@ -215,6 +215,16 @@ def _signs(tape: Tape) -> Iterator[tuple[int, int, str]]:
             continue
         edits.append((sign.start(), sign.end(), "@"))
         edits += [(d.start(), d.end(), ".") for d in dots]
+        # the local part stands before; of bare words only those that the host has too are its dots
+        words, left = {d.group().strip().lower() for d in dots}, at
+        while True:
+            while left > done and text[left - 1] in _LOCAL:
+                left -= 1
+            dot = _LOCAL_DOT.search(text, max(done, left - 20), left)
+            if not dot or dot.group()[:1].isspace() and dot.group().strip().lower() not in words and not any(c in dot.group() for c in "[({<"):
+                break
+            edits.append((dot.start(), dot.end(), "."))
+            left = dot.start()
         done = end
     edits += [(m.start() + d.start(), m.start() + d.end(), ".") for m in _OCTETS.finditer(text) for d in _SIGN_DOT.finditer(m.group()) if d.group() != "."]
     at = 0
@@ -232,7 +242,7 @@ def find_spans(text: str) -> list[Span]:
         tape = tape.rewrite(_fold(tape))
     if _SPELLED.search(tape.text):
         tape = tape.rewrite(_spell(tape))
-    if _DOT_CUE.search(tape.text) and _AT_CUE.search(tape.text) or _OCTETS.search(tape.text):
+    if _AT_CUE.search(tape.text) or _OCTETS.search(tape.text):
         tape = tape.rewrite(_signs(tape))
     if tape.text == text:
         return base
