@@ -432,3 +432,17 @@ def test_jaccard_finds_every_planted_near_copy(spark):
 def test_disguised_at_needs_no_other_cue(text, part):
     at = text.index(part)
     assert pii.find_spans(text) == [("email", at, at + len(part))]
+
+
+def test_one_row_of_every_group_stays_whatever_its_id(spark):
+    import corpus_pipeline
+
+    def text(k):
+        return " ".join(f"t{k}x{i}" for i in range(30))
+
+    rows = [(1, text(0), "en", "a", 1), (1, text(1), "en", "a", 1), (2, text(1), "en", "a", 1), (3, text(2), "fr", "b", 2), (3, text(2), "en", "b", 2)]
+    rows += [(None, text(3), "en", "a", 1)] * 3 + [(None, text(2), "en", "a", 1), (None, text(4), "de", "c", 1), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+    want = [(1, text(0), "en", "a", 1), (1, text(1), "en", "a", 1), (3, text(2), "en", "b", 2), (None, text(3), "en", "a", 1), (None, text(4), "de", "c", 1), (None, None, None, None, None)]
+    assert Counter(map(tuple, out)) == Counter(want)
