@@ -446,3 +446,10 @@ def test_one_row_of_every_group_stays_whatever_its_id(spark):
     out = corpus_pipeline.near_duplicates(spark, frame, "").collect()
     want = [(1, text(0), "en", "a", 1), (1, text(1), "en", "a", 1), (3, text(2), "en", "b", 2), (None, text(3), "en", "a", 1), (None, text(4), "de", "c", 1), (None, None, None, None, None)]
     assert Counter(map(tuple, out)) == Counter(want)
+
+
+def test_language_of_many_copies_keeps_its_sample(spark):
+    for seed in range(4):
+        rows = [("xx", f"only {'abcdefghij'[k]} text {'klmnopqrst'[seed]}") for k in range(5)] * 1500 + [("yy", "plain")]
+        samples = langid.fit_samples(spark.createDataFrame(rows, "lang string, text string").repartition(4))
+        assert all(f"only {c} text {'klmnopqrst'[seed]}" in samples["xx"] for c in "abcde") and samples["yy"].startswith("plain")

@@ -165,10 +165,10 @@ def fold(text: str | None) -> np.ndarray:
 
 
 def fit_samples(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, str]:
-    """The bounded sample: of each language the DOCS rows with the least text hash. Rows are thinned by that hash to a few times
-    DOCS a language, known from one count, before any of them meet in a task."""
+    """The bounded sample: of each language DOCS distinct texts, chosen by hash. Rows are thinned by that hash to a few times DOCS
+    texts a language, known from one count of its distinct texts, before any of them meet in a task."""
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("langid"), F.col(text_col)).alias("h")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * DOCS) / F.col("n"))
     place = F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))
     some = rows.join(F.broadcast(counts) if _few(counts) else counts, "lang").where(place < share)
