@@ -453,3 +453,28 @@ def test_language_of_many_copies_keeps_its_sample(spark):
         rows = [("xx", f"only {'abcdefghij'[k]} text {'klmnopqrst'[seed]}") for k in range(5)] * 1500 + [("yy", "plain")]
         samples = langid.fit_samples(spark.createDataFrame(rows, "lang string, text string").repartition(4))
         assert all(f"only {c} text {'klmnopqrst'[seed]}" in samples["xx"] for c in "abcde") and samples["yy"].startswith("plain")
+
+
+def scripts(seed, first, n_words, texts=1, length=4000):
+    """Texts of two-letter words from 1,500 characters from `first` on."""
+    r = random.Random(seed)
+    words = [chr(first + r.randrange(1500)) + chr(first + r.randrange(1500)) for _ in range(n_words)]
+    return ["".join(r.choice(words) for _ in range(length // 2)) for _ in range(texts)]
+
+
+def test_language_id_tells_large_scripts_apart():
+    made = {"zh": scripts(1, 0x4E00, 900, 21), "zi": scripts(2, 0x4E00, 900, 21), "ko": scripts(3, 0xAC00, 900, 21), "en": ["plain words of a small alphabet " * 100] * 21}
+    m = langid.Model({g: t[0] for g, t in made.items()})
+    texts = [(g, x[:60]) for g, ts in made.items() for x in ts[1:]]
+    got, _ = m.predict([x for _, x in texts])
+    assert sum(a == g for a, (g, _) in zip(got, texts, strict=True)) >= 0.95 * len(texts)
+
+
+def test_sparse_steps_parse_greedily(monkeypatch):
+    r = random.Random(4)
+    text, query = ("".join(r.choice("abcdefgh") for _ in range(n)) for n in (300, 200))
+    query += "zz" + text[5:20]
+    whole = langid.Model({"x": text, "y": text[::-1]})
+    monkeypatch.setattr(langid, "SYMBOLS", 4)
+    cut = langid.Model({"x": text, "y": text[::-1]})
+    assert (cut.phrases([cut.codes(langid.fold(query))]) == whole.phrases([whole.codes(langid.fold(query))])).all()

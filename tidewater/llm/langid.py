@@ -7,12 +7,13 @@ minus the winner's share of the runner-up's. Ties go to the language first by na
 
 The sample: of each language, at most DOCS training rows, chosen by a hash of their text, and of each at most PER_DOC
 characters, SAMPLE in all; a documented bound of the fit. Prediction reads whole texts, cut into lanes of LANE characters which
-are walked side by side through the automata's tables; each lane starts a phrase. Texts are folded before: lower case, letters
+are walked side by side through the automata's tables; each lane starts a phrase. Every character of the samples is a symbol. Texts are folded before: lower case, letters
 kept, any other run a single space. A null text or one without a letter is `und` with score 0. No learned language: `und`.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from .words import slices
 
 DOCS, PER_DOC, SAMPLE, LANE = 256, 400, 24_000, 2048
 UNKNOWN = "und"
-#: Characters with a symbol of their own; the rest of the letters share the last one.
+#: Columns of a dense table. Languages that together have more characters get tables of their own for the commonest of each;
+#: the steps over its other characters are searched for.
 SYMBOLS = 96
 
 
@@ -58,21 +60,47 @@ class SuffixAutomaton:
                     link[q] = link[now] = clone
             last = now
 
-    def table(self, n_symbols: int) -> np.ndarray:
+    def table(self, n_symbols: int, column: dict[int, int] | None = None) -> np.ndarray:
         """Rows of states: next state times two for each symbol, plus one where a phrase ends and the next one starts. The last
-        row stands behind a symbol never seen, which is a phrase of its own."""
+        row stands behind a symbol never seen, which is a phrase of its own. column: of the symbols to hold, if not all."""
         behind = len(self.next)
+        held = self.next if column is None else [{column[c]: to for c, to in edges.items() if c in column} for edges in self.next]
         root = np.full(n_symbols, behind, np.int32)
-        for c, to in self.next[0].items():
+        for c, to in held[0].items():
             root[c] = to
         out = np.tile(root * 2 + 1, (behind + 1, 1))
-        for s, edges in enumerate(self.next):
+        for s, edges in enumerate(held):
             if edges:
                 out[s, list(edges)] = 2 * np.fromiter(edges.values(), np.int32, len(edges))
         out[0] &= ~1  # only stood in before the first symbol
         return out
 
 
+class Sparse:
+    """The steps of an automaton over the symbols that its dense table leaves out."""
+
+    def __init__(self, automaton: SuffixAutomaton, column: dict[int, int], n_symbols: int):
+        self.n_symbols = n_symbols
+        self.column = np.full(n_symbols, len(column), np.int64)  # the last column is a symbol never seen
+        for c, k in column.items():
+            self.column[c] = k
+        steps = sorted((s * n_symbols + c, 2 * to) for s, edges in enumerate(automaton.next) for c, to in edges.items() if c not in column)
+        self.keys = np.array([k for k, _ in steps], np.int64)
+        self.to = np.array([to for _, to in steps], np.int32)
+        self.afresh = np.zeros(n_symbols, np.int32)  # where a phrase that starts with the symbol stands; zero: not one of these
+        for c, to in automaton.next[0].items():
+            if c not in column:
+                self.afresh[c] = 2 * to + 1
+
+    def step(self, to: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> None:
+        """Put right what the dense table said of these symbols."""
+        at = np.flatnonzero(self.afresh[symbol])
+        if len(at):
+            key = state[at].astype(np.int64) * self.n_symbols + symbol[at]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[at] = np.where(self.keys[place] == key, self.to[place], self.afresh[symbol[at]])
+
+
 class Model:
     """samples: folded training text of each language, never empty."""
 
@@ -82,12 +110,23 @@ class Model:
         for text in samples.values():
             for c in text:
                 counts[c] = counts.get(c, 0) + 1
-        common = sorted(counts, key=lambda c: (-counts[c], c))[: SYMBOLS - 1]
-        self.symbol = {c: i for i, c in enumerate(common)}
-        self.other = len(common)
-        self.tables = [SuffixAutomaton([self.symbol.get(c, self.other) for c in samples[g]]).table(self.other + 1) for g in self.languages]
+        every = sorted(counts, key=lambda c: (-counts[c], c))
+        self.symbol = {c: i for i, c in enumerate(every)}
+        self.other = len(every)  # a character of no sample
+        self.tables: list[np.ndarray] = []
+        self.sparse: list[Sparse | None] = []
+        for g in self.languages:
+            symbols = [self.symbol[c] for c in samples[g]]
+            automaton = SuffixAutomaton(symbols)
+            if self.other < SYMBOLS:
+                self.tables.append(automaton.table(self.other + 1))
+                self.sparse.append(None)
+                continue
+            column = {c: k for k, (c, _) in enumerate(Counter(symbols).most_common(SYMBOLS - 1))}
+            self.tables.append(automaton.table(len(column) + 1, column))
+            self.sparse.append(Sparse(automaton, column, self.other + 1))
         self.bits = np.array([np.log2(len(samples[g]) + 1) for g in self.languages])
-        points = np.full(0x110000, -1, np.int16)
+        points = np.full(0x110000, -1, np.int32)
         self._points = points
 
     def codes(self, folded: np.ndarray) -> np.ndarray:
@@ -112,15 +151,16 @@ class Model:
         owner, base, sizes = owner[order], base[order], sizes[order]
         every = np.concatenate(texts).astype(np.int64)
         live = np.searchsorted(-sizes, -np.arange(LANE), "left")  # lanes longer than k symbols
-        width = self.tables[0].shape[1]
         flat = [t.ravel() for t in self.tables]
         state = [np.zeros(len(owner), np.int32) for _ in flat]
         ended = [np.ones(len(owner), np.int32) for _ in flat]
         for k in range(int(sizes[0])):
             n = int(live[k])
             symbol = every[base[:n] + k]
-            for t, s, e in zip(flat, state, ended, strict=True):
-                to = t[s[:n] * width + symbol]
+            for t, s, e, table, sparse in zip(flat, state, ended, self.tables, self.sparse, strict=True):
+                to = t[s[:n] * table.shape[1] + (symbol if sparse is None else sparse.column[symbol])]
+                if sparse is not None:
+                    sparse.step(to, s[:n], symbol)
                 e[:n] += to & 1
                 s[:n] = to >> 1
         for g, e in enumerate(ended):
