@@ -478,3 +478,15 @@ def test_sparse_steps_parse_greedily(monkeypatch):
     monkeypatch.setattr(langid, "SYMBOLS", 4)
     cut = langid.Model({"x": text, "y": text[::-1]})
     assert (cut.phrases([cut.codes(langid.fold(query))]) == whole.phrases([whole.codes(langid.fold(query))])).all()
+
+
+def test_a_small_crop_of_a_large_picture_is_confirmed(monkeypatch):
+    r = np.random.RandomState(6)
+    big = media.resize((r.rand(60, 60) * 200 + 20).astype(np.float32), 480, 480)
+    big[240:] = media.resize((r.rand(60, 120) * 60 + 90).astype(np.float32), 240, 480)  # of less contrast
+    crop = big[300:400, 300:400]
+    whole, part = media.describe(big), media.describe(crop)
+    n = media.consensus(*part, *whole)
+    assert n >= media.INLIERS
+    monkeypatch.setattr(media, "AT_ONCE", 1 << 18)
+    assert media.consensus(*part, *whole) == n
