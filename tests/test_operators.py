@@ -190,3 +190,9 @@ def test_samples_and_diffs(spark):
     assert len(a) == 15 and sorted(a) == sorted(relational.hashed_sample(df.repartition(7), ["g"], "id", 5).collect())
     d = relational.table_diff(df.where("id < 60"), df.where("id > 40"), ["id"]).groupBy("_diff").count().collect()
     assert {r["_diff"]: r["count"] for r in d} == {"new": 41, "missing": 40}  # 60 to 99
+
+
+def test_the_bootstrap_query_draws_as_often_as_the_operator(spark):
+    from tidewater.plans import registry
+
+    assert 500 < registry.bootstrap_ci(spark, "/root/testdata/sf0.001").first().draws <= 2000

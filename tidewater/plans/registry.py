@@ -428,7 +428,7 @@ def scatter_frame(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return rounded(reconcile.bootstrap_ci(aligned(spark, d), "semantic_z", "beta_z", draws=500))
+    return rounded(reconcile.bootstrap_ci(aligned(spark, d), "semantic_z", "beta_z"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
