@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -13,9 +14,13 @@ from tidewater.streaming.gate import gate_stream, windowed_counts
 SCORES = [("DELL", 0.2407, 98), ("NVDA", 0.1133, 112), ("TEAM", 0.0741, 138), ("MU", 0.068, 49), ("INTC", 0.0411, 50), ("ADBE", 0.0344, 58), ("CAT", 0.0014, 4), ("WM", 0.0, 1), ("PG", -0.0011, 3)]
 
 
+# Their betas as z-scores, and the gaps of the two scores.
+BETA_Z = {"TEAM": -1.054, "NVDA": 1.598, "DELL": 1.620, "CAT": -0.094, "ADBE": -1.066, "MU": 0.708, "PG": -0.336, "INTC": -0.739, "WM": -0.637}
+GAPS = {"TEAM": 1.199, "NVDA": -0.913, "DELL": 0.821, "CAT": -0.762, "ADBE": 0.664, "MU": -0.647, "PG": -0.554, "INTC": 0.430, "WM": -0.238}
+
+
 def test_reconciliation_by_hand(spark):
-    r = np.random.default_rng(0)
-    betas = [(t, float(b), 1.0 if i % 2 else 3.0, 1.2) for i, ((t, *_), b) in enumerate(zip(SCORES, r.normal(size=9), strict=True))]
+    betas = [(t, BETA_Z[t], 1.0 if i % 2 else 3.0, 1.2) for i, (t, *_) in enumerate(SCORES)]
     out = reconcile.align(spark.createDataFrame(SCORES, "ticker string, aia double, n_substantive long"), spark.createDataFrame(betas, "ticker string, ai_beta double, ai_t double, max_vif double"))
     got = {x.ticker: x for x in out.collect()}
     a, b = np.array([s[1] for s in SCORES]), np.array([x[1] for x in betas])
@@ -23,6 +28,8 @@ def test_reconciliation_by_hand(spark):
     for (t, *_), x, y in zip(SCORES, za, zb, strict=True):
         assert got[t].semantic_z == pytest.approx(x) and got[t].gap == pytest.approx(x - y)
     assert [round(got[t].semantic_z, 3) for t in ("TEAM", "NVDA", "DELL", "PG")] == [0.145, 0.685, 2.441, -0.891]
+    assert all(got[t].gap == pytest.approx(g, abs=0.005) for t, g in GAPS.items())
+    assert reconcile.spearman(out, "semantic_z", "beta_z").first().rho == pytest.approx(0.4333, abs=5e-5)
     top = reconcile.triage(out).collect()
     assert [x.ticker for x in top] == sorted(got, key=lambda t: -got[t].abs_gap)[:3]
     assert all(x.likely_measurement == (abs(x.ai_t) < 1.5 or x.max_vif > 10 or x.n_substantive < 20) for x in top)
@@ -72,9 +79,47 @@ def test_sections_and_chunks():
     assert list(chunk.chunks("ab\n|1|2|\ncd", [table], [])) == [("", "ab\n\n\n\ncd".replace("\n\n\n\n", "\n\n"), 5)]
 
 
-def test_rising_is_longest():
-    marks = [(0, "I.1"), (1, "I.3"), (2, "I.2"), (3, "II.1"), (4, "I.2A"), (5, "I.3")]
-    assert [m[1] for m in extract.rising(marks)] == ["I.1", "I.2", "I.2A", "I.3"]
+def longest_by_hand(labels):
+    """Every rising run, the longest; of several the one whose end is first, and so on backwards."""
+    k = [extract.rank(x) for x in labels]
+    runs = {i: [i] for i in range(len(k))}
+    for i in range(len(k)):
+        for j in range(i):
+            if k[j] < k[i] and len(runs[j]) + 1 > len(runs[i]):
+                runs[i] = [*runs[j], i]
+    return max(runs.values(), key=len, default=[])
+
+
+def test_rising_is_longest_and_the_first_of_several():
+    labels = ["I.1", "I.3", "I.2", "II.1", "I.2A", "I.3"]
+    assert [labels[i] for i in extract.rising(labels)] == ["I.1", "I.2", "I.2A", "I.3"]
+    assert extract.rising(["I.1", "I.3", "I.2"]) == [0, 1] and extract.rising([]) == []
+    r = random.Random(2)
+    pool = [f"{p}{i}" for p in ("", "I.", "II.", "IV.") for i in ("1", "1A", "2", "7A", "10")]
+    for _ in range(2000):
+        labels = [r.choice(pool) for _ in range(r.randrange(12))]
+        assert extract.rising(labels) == longest_by_hand(labels)
+
+
+def test_a_label_of_a_picture_is_no_wrapper():
+    assert extract.extract("<p>before</p><svg><text>lab</text></svg><p>after</p>")["text"] == "before\n\nlabafter"
+    assert extract.extract("<TYPE>8-K\n<TEXT>\n<html><p>in</p></html>\n</TEXT>\nout")["text"] == "in"
+    assert extract.extract("<TYPE>8-K\n<html><p>in</p></html>")["text"] == "in" and extract.extract("lead <html><p>in</p></html>")["text"] == "lead in"
+    assert extract.extract("x<div>y</div>z<p>a<p>b<ul><li>c<li>d</ul>e<hr>f")["text"] == "xy\n\nza\n\nb\n\nc\n\nd\n\ne\n\nf"
+    assert extract.extract(b"\x81")["warnings"] == ["decode_lossy"]
+
+
+def test_chunks_fill_keep_the_ceiling_and_overlap():
+    sentence = "Some words stand here. "
+    text = "\n\n".join([sentence * n for n in (3, 150, 1, 400, 20)] + ["y" * 9000, "short end."])
+    made = [c for _, c, _ in chunk.chunks(text, [], [])]
+    assert all(len(c) <= chunk.MOST for c in made) and "".join(made).count("y") >= 9000
+    for a, b in zip(made, made[1:], strict=False):
+        lead = b.split("\n\n")[0]
+        assert a.endswith(lead) or len(lead) > chunk.OVERLAP  # an overlap, or a unit that left it no room
+    assert chunk.tail("Short. Text") == "Short. Text" and chunk.tail("x" * 300 + ". One. " + "z" * 150) == "One. " + "z" * 150
+    assert list(chunk.units("a b. " * 1000))[0] == ("a b. " * 1000).strip()[: chunk.MOST]  # one sentence (no capital), cut at the ceiling
+    assert chunk.pack(["a" * 2990, "b" * 100]) == ["a" * 2990 + "\n\n" + "a" * 200 + "\n\n" + "b" * 100] and len(chunk.pack(["a" * 2990, "b" * 900])) == 2
 
 
 def test_section_names(spark):
@@ -181,7 +226,10 @@ def test_stream_equals_batch(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.table("hits").count() == 100
-    assert spark.table("agg").agg(F.sum("n")).first()[0] in (None, *range(301))
+    batch = {(r.start, r.kind): (r.n, r.total) for r in windowed_counts(spark.read.parquet(str(tmp_path / "in")), "date", "kind", "v").collect()}
+    closed = {(r.start, r.kind): (r.n, r.total) for r in spark.table("agg").collect()}
+    hours = sorted({start for start, _ in batch})  # rows reach to 04:59, the watermark to 04:49
+    assert len(hours) == 5 and closed == {k: v for k, v in batch.items() if k[0] < hours[4]}
 
 
 def test_samples_and_diffs(spark):
