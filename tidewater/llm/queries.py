@@ -34,7 +34,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = media.draw_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return media.copies(drawn, "vec_id", "media").select(F.col("id").alias("vec_id"), "n_keypoints", "n_links", "group_id")
+    return media.copies(drawn, "vec_id", "media").select(F.col("id").alias("vec_id"), "n_keypoints", "n_contents", "group_id")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
