@@ -43,15 +43,18 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_substring_dedup(docs, none):
-    L = 35
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
+def brute_windows(rows, L=35):
     words = [WORD.findall(t or "") for _, t in rows]
     seen = Counter(tuple(w[i : i + L]) for w in words for i in range(len(w) - L + 1))
     want = Counter()
     for (i, _), w in zip(rows, words, strict=True):
         gone = {j for s in range(len(w) - L + 1) if seen[tuple(w[s : s + L])] > 1 for j in range(s, s + L)}
         want[i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    return want
+
+
+def test_substring_dedup(docs, none):
+    want = brute_windows([(r.doc_id, r.text) for r in docs.collect()])
     out = substring_dedup.remove_repeated_windows(docs).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out) == want
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in out)
@@ -59,12 +62,19 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeated_windows(none).count() == 0
 
 
-def test_substring_dedup_settles_repeats_inside_a_chunk_and_across(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK", 50)
+@pytest.mark.parametrize("chunk, rows_hot", [(200, 1000), (1 << 22, 2), (200, 2)])
+def test_substring_dedup_settles_repeats_inside_a_chunk_and_across(spark, monkeypatch, chunk, rows_hot):
+    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", rows_hot)
     w = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(w if i % 2 else [f"d{i}", *w[:20]])) for i in range(40)]
-    out = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert out == {i: 40 if i % 2 else 0 for i in range(40)}
+    rows += [(100 + i, " ".join([f"e{i}", *w, f"f{i}"])) for i in range(9)] + [(200, "a " * 34), (201, "a " * 35), (202, "b c " * 18), (203, "x y z " * 40 + " ".join(w)), (None, None)]
+    r = random.Random(3)
+    for i in range(30):  # passages of 30 to 60 words of a common text, at odd places
+        at = r.randrange(150)
+        rows.append((300 + i, " ".join([f"p{r.randrange(10**6)}" for _ in range(r.randrange(40))] + [f"c{k % 90}" for k in range(at, at + r.randrange(30, 60))] + [f"q{r.randrange(10**6)}" for _ in range(9)])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in substring_dedup.remove_repeated_windows(frame).collect()) == brute_windows(rows)
 
 
 def brute_measures(t):
