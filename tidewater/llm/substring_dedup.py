@@ -121,7 +121,7 @@ def _send(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
-        for part in _chunks(batches, 2, [*TEXT, "text", "several", "anchors"]):
+        for part in _chunks(batches, 2, [*TEXT, "text", "several", "anchors", "doc_id"]):
             t1, t2 = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             new = np.r_[(t1[0], t2[0]) != before, (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])]
             before = t1[-1], t2[-1]
@@ -251,11 +251,11 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
     total = F.sum("n").over(Window.partitionBy("key", "anchor"))
     wanted = met.withColumn("total", total).where("n = 0 or total > 1").groupBy(*TEXT).agg(F.collect_set("anchor").alias("anchors"))
 
-    # 2. their windows, counted
+    # 2. their windows, counted; doc_id only comes along so that the shuffle of the texts is the one that step 3 reads again
     one = rows.where(long_enough).join(F.broadcast(hot), TEXT).groupBy(*TEXT, "several").agg(F.first("text").alias("text"))
     flags = several.select(*TEXT, F.lit(True).alias("several"))
-    asked = spread.join(flags, TEXT, "left").join(wanted, TEXT).select(*TEXT, "text", F.coalesce("several", F.lit(False)).alias("several"), "anchors").sortWithinPartitions(*TEXT)
-    hot_asked = one.join(wanted, TEXT).select(*TEXT, "text", "several", "anchors").sortWithinPartitions(*TEXT)
+    asked = spread.join(flags, TEXT, "left").join(wanted, TEXT).select(*TEXT, "text", F.coalesce("several", F.lit(False)).alias("several"), "anchors", "doc_id").sortWithinPartitions(*TEXT)
+    hot_asked = one.join(wanted, TEXT).select(*TEXT, "text", "several", "anchors", F.lit(None).cast("long").alias("doc_id")).sortWithinPartitions(*TEXT)
     sent = asked.unionByName(hot_asked).mapInArrow(_send(window), _PACKED).repartition(n, "key")
     opened = sent.select("key", *TEXT, "start", "known", "weight", F.explode_outer(F.arrays_zip("places", "h1", "h2")).alias("w"))
     opened = opened.select("key", *TEXT, "start", "known", "weight", F.col("w.places").alias("place"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
