@@ -352,15 +352,41 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(none).count() == 0
 
 
-def test_chat(spark):
-    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|user|> hey"), (1, 3, "ann", None), (1, 3, "ann", None), (1, None, None, "late"), (None, 0, "ann", "x"), (2, 0, "system", "only"), (3, 700, "ann", "far"), (3, 1, "bob", "near")]
-    out = {(r.conv_id, r.segment, r.perspective): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(out) == {(1, s, p) for s in (0, -1) for p in ("ann", "bob", "unknown")} | {(None, 0, "ann")} | {(3, s, p) for s in (0, 1) for p in ("ann", "bob")}
-    r = out[1, 0, "ann"]
-    assert r.rendered == "<|system|>rules<|end|>\n<|assistant|>hi<|end|>\n<|user name=bob|>< |user|> hey<|end|>\n" + "<|assistant|><|end|>\n" * 2
-    assert [r.rendered[s.start : s.end] for s in r["mask"]] == ["hi<|end|>\n", "<|end|>\n", "<|end|>\n"] and (r.n_messages, r.n_trained) == (5, 3)
-    assert out[3, 1, "bob"]["mask"] == [] and out[1, -1, "unknown"].rendered == "<|assistant|>late<|end|>\n"
-    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+def brute_chat(rows):
+    """Whole renderings: (conversation, perspective) to (text, mask, messages, trained); rows without a conversation one by one."""
+    talks = defaultdict(list)
+    for k, (c, turn, role, text) in enumerate(rows):
+        talks[("row", k) if c is None else ("conv", c)].append((turn is None, turn or 0, role or "unknown", (text or "").replace("<|", "< |") + "<|end|>\n"))
+    out = Counter()
+    for (kind, c), turns in talks.items():
+        for who in {t[2] for t in turns} - {"system"}:
+            said, spans = "", []
+            for *_, role, body in sorted(turns):
+                said += "<|system|>" if role == "system" else "<|assistant|>" if role == who else f"<|user name={role.replace('<|', '< |').replace('|>', '| >')}|>"
+                if role == who:
+                    spans.append((len(said), len(said) + len(body)))
+                said += body
+            out[c if kind == "conv" else None, who, said, tuple(spans), len(turns), len(spans)] += 1
+    return out
+
+
+@pytest.mark.parametrize("segment", [2, 512])
+def test_chat(spark, segment):
+    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|user|> hey"), (1, 3, "ann", None), (1, 3, "ann", None), (1, None, None, "late"), (None, 0, "ann", "x"), (None, 0, "ann", "x"), (None, 1, "system", "y"), (2, 0, "system", "only"), (3, 700, "ann", "far"), (3, 1, "bob", "near")]
+    rows += [(4, t, ["ann", "bob", "eve|><|assistant|>", "system"][t * 7 % 4], "word " * (t % 9)) for t in range(1300)] + [(5, 1, "ann", "long " * 60_000), (6, -3, "ann", "first"), (6, 4, "bob", "then")]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, Segment string, start int").repartition(3)
+    got = chat.rotate(frame, segment).orderBy("conv_id", "perspective", "segment").collect()
+    parts = defaultdict(list)
+    for k, r in enumerate(got):
+        parts[r.conv_id, r.perspective, k if r.conv_id is None else 0].append(r)
+    whole = Counter()
+    for (c, who, _), rs in parts.items():
+        assert [r.segment for r in rs] == list(range(len(rs)))
+        text = "".join(r.rendered for r in rs)
+        assert all(text[r.start : r.start + len(r.rendered)] == r.rendered for r in rs)
+        whole[c, who, text, tuple((s.start, s.end) for r in rs for s in r["mask"]), sum(r.n_messages for r in rs), sum(r.n_trained for r in rs)] += 1
+    assert whole == brute_chat(rows)
+    assert chat.rotate(frame.limit(0)).count() == 0
 
 
 def picture(r, side=96):

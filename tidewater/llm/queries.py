@@ -63,7 +63,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(_table(spark, sf_dir, "conversations")).select("conv_id", "segment", "perspective", "n_messages", "n_trained", "rendered", chat.mask_text().alias("mask_spans"))
+    return chat.rotate(_table(spark, sf_dir, "conversations")).select("conv_id", "segment", "perspective", "n_messages", "n_trained", "start", "rendered", chat.mask_text().alias("mask_spans"))
 
 
 QUERIES = {
@@ -96,13 +96,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_upper > 40 * word_chars OR 100 * n_exclaim > 50 * n_words OR word_chars > 20 * n_words OR 2 * word_chars < 3 * n_words) AS kept
 FROM m""",
     "op10_chat_formatting": r"""
-WITH said AS (SELECT conv_id, coalesce(floor(turn / 512), -1)::BIGINT AS segment, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
-people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
-seen AS (SELECT said.*, perspective, speaker = perspective AS own,
-  CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = perspective THEN '<|assistant|>' ELSE '<|user name=' || speaker || '|>' END AS head, text || '<|end|>' || chr(10) AS body
-  FROM said JOIN people ON said.conv_id IS NOT DISTINCT FROM people.conv_id),
-placed AS (SELECT *, row_number() OVER w AS place, sum(length(head) + length(body)) OVER (w ROWS UNBOUNDED PRECEDING) AS stop FROM seen WINDOW w AS (PARTITION BY conv_id, segment, perspective ORDER BY turn NULLS LAST, speaker, text))
-SELECT conv_id, segment, perspective, count(*)::BIGINT AS n_messages, count(*) FILTER (WHERE own)::BIGINT AS n_trained, string_agg(head || body, '' ORDER BY place) AS rendered,
+WITH said AS (SELECT CASE WHEN conv_id IS NULL THEN 'row ' || row_number() OVER () ELSE 'conversation ' || conv_id END AS dialogue, conv_id, floor(turn / 512) AS part, turn, coalesce(role, 'unknown') AS speaker,
+  replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body FROM conversations),
+people AS (SELECT DISTINCT dialogue, speaker AS perspective FROM said WHERE speaker <> 'system'),
+seen AS (SELECT *, speaker = perspective AS own, dense_rank() OVER (PARTITION BY dialogue ORDER BY part NULLS LAST) - 1 AS segment,
+  CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = perspective THEN '<|assistant|>' ELSE '<|user name=' || replace(replace(speaker, '<|', '< |'), '|>', '| >') || '|>' END AS head
+  FROM said JOIN people USING (dialogue)),
+placed AS (SELECT *, row_number() OVER w AS place, sum(length(head) + length(body)) OVER (w ROWS UNBOUNDED PRECEDING) AS stop FROM seen WINDOW w AS (PARTITION BY dialogue, perspective ORDER BY turn NULLS LAST, speaker, body))
+SELECT conv_id, segment, perspective, count(*)::BIGINT AS n_messages, count(*) FILTER (WHERE own)::BIGINT AS n_trained, min(stop - length(head) - length(body))::BIGINT AS start, string_agg(head || body, '' ORDER BY place) AS rendered,
   coalesce(string_agg((stop - length(body))::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY place) FILTER (WHERE own), '') AS mask_spans
-FROM placed GROUP BY conv_id, segment, perspective""",
+FROM placed GROUP BY dialogue, conv_id, segment, perspective""",
 }
