@@ -3,13 +3,15 @@
 Documents that share a hub are linked (for the query, a hub is a text that several documents have); hubs stand for cliques, so
 links stay linear in the documents. Every linked document starts in the shard of its hash. In each round the shards of a hub's
 documents are counted, the counts are joined back, and each document asks for the shard, among those with room and its own,
-where most of its neighbours are. Requests from shard a to shard b are granted in proportion to what b's quota leaves plus what
+where most of its neighbours are (the cut is the pairs of linked documents in different shards). Requests from shard a to shard b are granted in proportion to what b's quota leaves plus what
 both can swap. A hub moves as one unless it is a large part of a shard; then its documents move one by one. Unlinked documents
 cut nothing, so they are dealt last and make the sizes come out.
 
-Law `rows`: counts differ by one at most. Numbers within a shard come from counts of hash buckets, so no task ever holds a
-shard. A null text has size 1 and checksum 0 and is linked to other null texts. Repeated rows are separate documents. Empty
-tables give empty results; other columns are ignored.
+Law `rows`: counts differ by one at most. Numbers within a shard come from counts of hash buckets, at least as many as shuffle
+partitions, so no task ever holds a shard. Hubs with more than a HEAVY-th of the linked documents (fewer than HEAVY hubs) are
+joined by broadcast, so a flood of copies is on no single key. A null text has size 1 and checksum 0 and is linked to other null
+texts. Repeated rows are separate documents, told apart by their place in the input. Very long texts only give their size and
+checksums. Empty tables give empty results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import discard, materialise
+from .storage import discard, materialise, shuffle_partitions
 
-SHARDS, ROUNDS, PER_BUCKET = 8, 6, 20_000
+SHARDS, ROUNDS, PER_BUCKET, HEAVY = 8, 6, 20_000, 1000
+
+
+#: What tells documents apart.
+TIE = ["doc_id", "size", "text_crc32", "uid"]
 
 
 def _pick(values: list, at: Column) -> Column:
@@ -27,9 +33,9 @@ def _pick(values: list, at: Column) -> Column:
 
 
 def numbered(rows: DataFrame, group: str, tie: list[str], n_rows: int, name: str) -> DataFrame:
-    """rows with a gapless number from 0 within each group. Rows are dealt into hash buckets of about PER_BUCKET; a row's number
+    """rows with a gapless number from 0 within each group. Rows are dealt into hash buckets of PER_BUCKET at most; a row's number
     is its place in its bucket plus the sizes of the group's earlier buckets. One shuffle serves both."""
-    buckets = max(1, n_rows // PER_BUCKET)
+    buckets = max(shuffle_partitions(rows.sparkSession), n_rows // PER_BUCKET)
     dealt = rows.withColumn("_h", F.xxhash64(*tie)).withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -37,6 +43,11 @@ def numbered(rows: DataFrame, group: str, tie: list[str], n_rows: int, name: str
     return dealt.withColumn("_own", own).join(before, [group, "_b"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_h", "_b", "_own", "_before")
 
 
+def _by_hub(rows: DataFrame, hubs: DataFrame, on: list[str], heavy: Column) -> DataFrame:
+    """rows joined with hubs; `heavy` (over columns of either side) names the few hubs that are broadcast."""
+    return rows.where(heavy).join(F.broadcast(hubs.where(heavy)), on).unionByName(rows.where(~heavy).join(hubs.where(~heavy), on))
+
+
 def _grants(wanted: dict[tuple[int, int], int], room: list[int]) -> list[list[float]]:
     """Shares of the requests from a to b that are granted: swaps, then room in proportion to what is left."""
     n = len(room)
@@ -52,9 +63,9 @@ def _grants(wanted: dict[tuple[int, int], int], room: list[int]) -> list[list[fl
 
 
 def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
-    """linked: (doc_id, size, text_crc32, hub, n_hub). Returns it with shard, and the count of each shard."""
+    """linked: (doc_id, size, text_crc32, uid, hub, n_hub, heavy). Returns it with shard, and the count of each shard."""
     n = len(quota)
-    state = materialise(linked.withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "doc_id", "size", "text_crc32"), F.lit(n)).cast("int")), "shards")
+    state = materialise(linked.withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), *TIE), F.lit(n)).cast("int")), "shards")
     for turn in range(rounds + 1):
         load = [0] * n
         for r in state.groupBy("shard").count().collect():
@@ -62,12 +73,12 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> tupl
         room = [q - x for q, x in zip(quota, load, strict=True)]
         if turn == rounds:
             break
-        near = state.groupBy("hub").agg(F.array(*[F.sum(F.when(F.col("shard") == s, 1).otherwise(0)) for s in range(n)]).alias("near"))
+        near = state.groupBy("hub", "heavy").agg(F.array(*[F.sum(F.when(F.col("shard") == s, 1).otherwise(0)) for s in range(n)]).alias("near"))
         # neighbours first; ties go to the shard that the hub prefers, alike for all its documents
         scores = [
             F.when(F.lit(room[s] > 0) | (F.col("shard") == s), F.struct((F.col("near")[s] * n + F.pmod(F.col("hub") + s, F.lit(n))).alias("score"), F.lit(s).alias("s"))) for s in range(n)
         ]
-        asked = state.join(near, "hub").withColumn("want", F.greatest(*scores)["s"]).drop("near")
+        asked = _by_hub(state, near, ["hub", "heavy"], F.col("heavy")).withColumn("want", F.greatest(*scores)["s"]).drop("near")
         wanted = {(r["shard"], r["want"]): r["count"] for r in asked.groupBy("shard", "want").count().where("shard <> want").collect()}
         if not wanted:
             break
@@ -75,7 +86,7 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> tupl
         if not any(x > 0 for row in share for x in row):
             break
         alone = F.col("n_hub") * 4 > min(quota)
-        luck = F.pmod(F.when(alone, F.xxhash64(F.lit(turn), "doc_id", "size", "text_crc32")).otherwise(F.xxhash64(F.lit(turn), "hub")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        luck = F.pmod(F.when(alone, F.xxhash64(F.lit(turn), *TIE)).otherwise(F.xxhash64(F.lit(turn), "hub")), F.lit(1 << 30)) / F.lit(float(1 << 30))
         grant = F.element_at(_pick_rows(share, F.col("shard")), (F.col("want") + 1).cast("int"))
         moved = materialise(asked.withColumn("shard", F.when(luck < grant, F.col("want")).otherwise(F.col("shard")).cast("int")).drop("want"), "shards")
         discard(state)
@@ -91,19 +102,22 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_
     """(doc_id, size, text_crc32, shard, slot) for each row of docs."""
     text = F.col(text_col)
     rows = materialise(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64(text).alias("h")),
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("uid")),
         "shard-rows",
     )
     total = rows.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     same = ["h", "text_crc32", "size"]
-    hubs = rows.groupBy(*same).agg(F.count("*").alias("n_hub")).where("n_hub > 1").withColumn("hub", F.xxhash64(*same))
-    full = materialise(rows.join(hubs, same, "left").drop("h"), "shard-linked")
+    hubs = rows.groupBy(*same).agg(F.count("*").alias("n_hub")).where("n_hub > 1").withColumn("hub", F.xxhash64(*same)).withColumn("heavy", F.col("n_hub") * HEAVY > total)
+    flood = rows.join(F.broadcast(hubs.where("heavy")), same, "left")
+    rest = flood.where("hub is null").drop("n_hub", "hub", "heavy").join(hubs.where("not heavy"), same, "left")
+    full = materialise(flood.where("hub is not null").unionByName(rest).drop("h"), "shard-linked")
+    discard(rows)
     state, load = propagate(full.where("hub is not null"), quota, rounds)
-    tie = ["doc_id", "size", "text_crc32"]
+    tie = TIE
     kept = [min(x, q) for x, q in zip(load, quota, strict=True)]
     if sum(load):
-        placed = numbered(state.select(*tie, "shard"), "shard", tie, max(load) * 1, "slot")
+        placed = numbered(state.select(*tie, "shard"), "shard", tie, max(load), "slot")
         stays = placed.where(F.col("slot") < _pick(quota, F.col("shard")))
         over = placed.where(F.col("slot") >= _pick(quota, F.col("shard"))).select(*tie)
     pool = full.where("hub is null").select(*tie)
@@ -114,5 +128,5 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_
     dealt = numbered(pool.withColumn("_all", F.lit(0)), "_all", tie, total, "at").drop("_all")
     which = sum((F.when(F.col("at") >= F.lit(start[s] + free[s]), 1).otherwise(0) for s in range(n_shards - 1)), F.lit(0))
     filled = dealt.withColumn("shard", which.cast("int")).withColumn("slot", F.col("at") - _pick(start, F.col("shard")) + _pick(kept, F.col("shard"))).drop("at")
-    out = filled.select(*tie, "shard", F.col("slot").cast("long").alias("slot"))
-    return out.unionByName(stays.select(*tie, "shard", F.col("slot").cast("long").alias("slot"))) if sum(load) else out
+    out = filled.select(*tie[:3], "shard", F.col("slot").cast("long").alias("slot"))
+    return out.unionByName(stays.select(*tie[:3], "shard", F.col("slot").cast("long").alias("slot"))) if sum(load) else out
