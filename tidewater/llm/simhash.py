@@ -5,13 +5,14 @@ position; each of the 2**(radius+1) - 1 nonzero vectors v gives a mask of the po
 Two fingerprints that differ in at most `radius` positions always have some v even with all of those, so they agree under that
 mask: no pair is missed, whatever the draw.
 
-Fingerprints are first made distinct. In a table, a bucket of one is dropped; in the others the members are compared without
-listing pairs: at radius 2, two members are linked exactly if they have a common neighbour at one flipped bit, so each member
+Fingerprints are first made distinct. In a table, a bucket of one is dropped, and in one of SMALL members or fewer they are
+compared directly. In larger ones members are compared without listing pairs: at radius 2, two members are linked exactly if they have a common neighbour at one flipped bit, so each member
 sends itself and its flips of the bits outside the mask to groups of 65 rows at most, and each group points at its smallest
 member. Components come from large-star and small-star rounds over those links.
 
 A null or wordless text has fingerprint zero and is linked like any other. Repeated rows share a fingerprint and a component;
-null ids keep their rows and never name a component unless it has no other id.
+null ids keep their rows and never name a component unless it has no other id. Empty tables give empty results; columns besides
+id and text pass by, whatever their names. A very long text is hashed whole, at about 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise
+from .storage import discard, materialise
 from .words import slices
 
-SHINGLE, RADIUS, SEED = 3, 2, 42
+SHINGLE, RADIUS, SEED, SMALL = 3, 2, 42, 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLANE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
@@ -79,13 +80,17 @@ def near_links(distinct: DataFrame, masks: list[int] | None = None) -> DataFrame
     masks = masks or covering_masks()
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(masks)])
     tagged = distinct.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.mask", F.col("fp").bitwiseAND(F.col("x.mask")).alias("bucket"))
-    shared = tagged.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("t", "bucket")
-    members = tagged.join(shared, ["t", "bucket"], "left_semi")
+    shared = tagged.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("t", "bucket", "n")
+    every = tagged.join(shared, ["t", "bucket"])
+    few = every.where(F.col("n") <= SMALL).groupBy("t", "bucket").agg(F.collect_list("fp").alias("all"))
+    close = F.expr(f"flatten(transform(all, a -> transform(filter(all, b -> b < a AND bit_count(a ^ b) <= {RADIUS}), b -> struct(a AS src, b AS dst))))")
+    pairs = few.select(F.explode(close).alias("p")).select("p.src", "p.dst")
+    members = every.where(F.col("n") > SMALL)
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)).cast("long") for i in range(64)])
     free = F.filter(flips, lambda f: f.bitwiseAND(F.col("mask")) == 0)
     near = members.select("t", "fp", F.explode(F.transform(free, lambda f: F.col("fp").bitwiseXOR(f))).alias("via"))
     met = near.groupBy("t", "via").agg(F.min("fp").alias("dst"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    return met.select(F.explode("all").alias("src"), "dst").where("src <> dst").distinct()
+    return met.select(F.explode("all").alias("src"), "dst").where("src <> dst").unionByName(pairs).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -96,6 +101,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     links = materialise(near_links(distinct.select("fp"), covering_masks(radius)), "simhash-links")
     linked = connected_components(links)  # (id, root) of the linked fingerprints only
+    discard(links)
     rooted = distinct.join(linked.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lookup = rooted.join(named, "root").select("fp", "component_id")
