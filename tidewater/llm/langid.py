@@ -5,10 +5,16 @@ automaton: a phrase is the longest match from where the last one ended, and a ch
 language needing the fewest normalised phrases (phrases times the bits that address one, per character) wins; the score is one
 minus the winner's share of the runner-up's. Ties go to the language first by name.
 
-The sample: of each language, at most DOCS training rows, chosen by a hash of their text, and of each at most PER_DOC
-characters, SAMPLE in all; a documented bound of the fit. Prediction reads whole texts, cut into lanes of LANE characters which
-are walked side by side through the automata's tables; each lane starts a phrase. Every character of the samples is a symbol. Texts are folded before: lower case, letters
-kept, any other run a single space. A null text or one without a letter is `und` with score 0. No learned language: `und`.
+The sample: of each of the LANGUAGES languages with most distinct texts, at most DOCS distinct training texts, chosen by a hash, of
+each at most PER_DOC characters, SAMPLE in all; a documented bound of the fit, so what is broadcast never grows with the corpus.
+Every character of the samples is a symbol. Prediction reads whole texts. For speed a text is cut into lanes of LANE characters
+which are walked side by side through the automata's tables; then each lane is walked again from where the one before really
+ended, until both walks agree (a few characters on), so the parse is that of the uncut text.
+
+Texts are folded before: lower case, letters kept, any other run a single space. A null text or one without a letter is `und` with
+score 0. No learned language: `und`. Repeated rows are predicted alike, empty tables give empty results, other columns are
+carried along except that one named like a result (in whatever case) gives way. Of a very long text BLOCK characters are walked at
+a time.
 """
 
 from __future__ import annotations
@@ -20,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .storage import carried
 from .words import slices
 
-DOCS, PER_DOC, SAMPLE, LANE = 256, 400, 24_000, 2048
+DOCS, PER_DOC, SAMPLE, LANGUAGES, LANE, BLOCK = 256, 400, 24_000, 400, 2048, 1 << 21
 UNKNOWN = "und"
 #: Columns of a dense table. Languages that together have more characters get tables of their own for the commonest of each;
 #: the steps over its other characters are searched for.
@@ -138,33 +146,66 @@ class Model:
                 lookup[ord(c)] = i
         return lookup[folded]
 
+    def _step(self, g: int, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next state times two, plus one where a phrase ends, for states and symbols side by side."""
+        table, sparse = self.tables[g], self.sparse[g]
+        to = table.ravel()[state * table.shape[1] + (symbol if sparse is None else sparse.column[symbol])]
+        if sparse is not None:
+            sparse.step(to, state, symbol)
+        return to
+
+    def walk(self, g: int, symbols: np.ndarray, edges: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts symbols[edges[i]:edges[i + 1]] from the states start: phrases that end in each, and the states after them."""
+        many = -(-np.diff(edges) // LANE)
+        owner = np.repeat(np.arange(len(many)), many)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        base = edges[:-1][owner] + nth * LANE
+        size = np.minimum(edges[1:][owner] - base, LANE)
+        said = np.zeros(len(symbols), np.int32)
+        state = np.where(nth == 0, start[owner], 0).astype(np.int32)
+        order = np.argsort(-size, kind="stable")
+        live = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")  # lanes longer than k symbols
+        state, at = state[order], base[order]
+        for k, n in enumerate(live.tolist()):
+            said[at[:n] + k] = to = self._step(g, state[:n], symbols[at[:n] + k])
+            state[:n] = to >> 1
+        # seams: lanes that a lane precedes start from its end; where such a walk meets the first one, the rest is as it was
+        redo = np.flatnonzero(nth > 0)
+        while len(redo):
+            lane, state, k = redo, said[base[redo] - 1] >> 1, 0
+            moved = []
+            while len(lane):
+                place = base[lane] + k
+                to = self._step(g, state, symbols[place])
+                apart = to >> 1 != said[place] >> 1
+                said[place] = to
+                k += 1
+                over = apart & (size[lane] == k)
+                moved.append(lane[over] + 1)
+                lane, state = lane[apart & ~over], (to >> 1)[apart & ~over]
+            redo = np.concatenate(moved)
+            redo = redo[(redo < len(owner))]
+            redo = redo[nth[redo] > 0]
+        sums = np.r_[0, np.cumsum(said & 1)]
+        end = np.where(np.diff(edges) > 0, said[np.maximum(edges[1:] - 1, 0)] >> 1 if len(said) else 0, start)
+        return sums[edges[1:]] - sums[edges[:-1]], end
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (symbols) against each language."""
-        owner = np.repeat(np.arange(len(texts)), [-(-len(t) // LANE) for t in texts])
-        total = np.zeros((len(texts), len(self.tables)), np.int64)
-        if not len(owner):
-            return total
-        starts = np.concatenate([np.arange(0, len(t), LANE) for t in texts])
-        base = np.repeat(np.cumsum([0, *map(len, texts[:-1])]), [-(-len(t) // LANE) for t in texts]) + starts
-        sizes = np.minimum(np.repeat([len(t) for t in texts], [-(-len(t) // LANE) for t in texts]) - starts, LANE)
-        order = np.argsort(-sizes, kind="stable")
-        owner, base, sizes = owner[order], base[order], sizes[order]
-        every = np.concatenate(texts).astype(np.int64)
-        live = np.searchsorted(-sizes, -np.arange(LANE), "left")  # lanes longer than k symbols
-        flat = [t.ravel() for t in self.tables]
-        state = [np.zeros(len(owner), np.int32) for _ in flat]
-        ended = [np.ones(len(owner), np.int32) for _ in flat]
-        for k in range(int(sizes[0])):
-            n = int(live[k])
-            symbol = every[base[:n] + k]
-            for t, s, e, table, sparse in zip(flat, state, ended, self.tables, self.sparse, strict=True):
-                to = t[s[:n] * table.shape[1] + (symbol if sparse is None else sparse.column[symbol])]
-                if sparse is not None:
-                    sparse.step(to, s[:n], symbol)
-                e[:n] += to & 1
-                s[:n] = to >> 1
-        for g, e in enumerate(ended):
-            total[:, g] = np.bincount(owner, e, len(texts)).astype(np.int64)
+        """Phrases of each text (symbols, never empty) against each language."""
+        total = np.ones((len(texts), len(self.tables)), np.int64)
+        i = 0
+        while i < len(texts):
+            j, n = i + 1, len(texts[i])
+            while j < len(texts) and n + len(texts[j]) <= BLOCK:
+                n, j = n + len(texts[j]), j + 1
+            for g in range(len(self.tables)):
+                state = np.zeros(j - i, np.int32)
+                for at in range(0, max(n, 1), BLOCK):  # several blocks only of a text that is alone
+                    part = texts[i][at : at + BLOCK] if j == i + 1 else np.concatenate(texts[i:j])
+                    edges = np.array([0, len(part)]) if j == i + 1 else np.cumsum([0, *map(len, texts[i:j])])
+                    ended, state = self.walk(g, part.astype(np.int64), edges, state)
+                    total[i:j, g] += ended
+            i = j
         return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -209,9 +250,10 @@ def fit_samples(train: DataFrame, lang_col: str = "lang", text_col: str = "text"
     texts a language, known from one count of its distinct texts, before any of them meet in a task."""
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("langid"), F.col(text_col)).alias("h")).where("lang is not null and text is not null")
     counts = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    learned = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(4.0 * DOCS) / F.col("n"))
     place = F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))
-    some = rows.join(F.broadcast(counts) if _few(counts) else counts, "lang").where(place < share)
+    some = rows.join(F.broadcast(learned), "lang").where(place < share)  # LANGUAGES rows at most
     middle = F.expr(f"substring(text, 1 + cast(pmod(h, greatest(1, length(text) - {PER_DOC})) as int), {PER_DOC})")
     pieces = some.select("lang", F.struct("h", middle.alias("piece")).alias("x")).distinct()
     ranked = pieces.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("x.h", "x.piece"))).where(F.col("r") <= DOCS)
@@ -225,19 +267,14 @@ def fit_samples(train: DataFrame, lang_col: str = "lang", text_col: str = "text"
     return {k: v for k, v in out.items() if v.strip()}
 
 
-def _few(counts: DataFrame, most: int = 1000) -> bool:
-    """Whether the languages are few enough to broadcast their counts."""
-    return counts.limit(most + 1).count() <= most
-
-
 _MODELS: dict[int, Model] = {}
 
 
 def predict(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
     """docs' columns other than text, with lang_pred and score."""
     spark: SparkSession = docs.sparkSession
-    sent = spark.sparkContext.broadcast(samples)  # at most SAMPLE characters a language
-    rest = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    sent = spark.sparkContext.broadcast(samples)  # at most SAMPLE characters of each of LANGUAGES
+    rest = carried(docs, (text_col, "lang_pred", "score"))
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +288,7 @@ def predict(docs: DataFrame, samples: dict[str, str], text_col: str = "text") ->
                 langs, scores = _MODELS[key].predict(part.column(len(rest)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string", "score double"])
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):
