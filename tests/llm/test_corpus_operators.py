@@ -195,6 +195,32 @@ def test_mixing(docs, none):
     assert mixing.mix(mixing.with_size(none.select("doc_id", "source", "text"))).count() == 0
 
 
+def test_mixing_of_many_sources_repeated_rows_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 2)
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    r = random.Random(2)
+    rows = [(i, f"s{r.randrange(40):02}" if r.random() < 0.6 else "hot", "w " * r.randrange(1, 30), "k", 1.5, "x", 7) for i in range(600)]
+    rows += [(None, "same", "one text here", "k", 1.5, "x", 7)] * 400 + [(1, "empty", None, "k", 1.5, "x", 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string, key string, base double, dual string, Target int").repartition(3)
+
+    def run():
+        return mixing.mix(mixing.with_size(frame)).collect()
+
+    out = run()
+    assert len(out) == len(rows) and all((x["key"], x["base"], x["dual"]) == ("k", 1.5, "x") for x in out)
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for x in out:
+        sizes[x.source] += x["size"]
+        taken[x.source] += x.taken
+        largest[x.source] = max(largest[x.source], x["size"])
+        assert 0 <= x.taken <= 3 * x["size"]
+    want = waterfill(sizes)
+    assert all(x.target == pytest.approx(want[x.source]) for x in out)
+    # a block ends within half its shortest document of its share
+    assert all(abs(taken[s] - want[s]) <= largest[s] * (1 + sum(x.source == s for x in out) / 16) for s in sizes)
+    assert Counter((x.doc_id, x.source, x.taken) for x in out) == Counter((x.doc_id, x.source, x.taken) for x in run())
+
+
 def test_newton_meets_the_targets(spark):
     cells = [("a", 1.0, 100), ("a", 0.2, 400), ("b", 2.0, 50), ("c", 1.0, 10)]
     goals = {"a": 300.0, "b": 10.0, "c": 30.0}
@@ -267,6 +293,43 @@ def test_suffix_automaton_parses_greedily():
     assert m.phrases([m.codes(langid.fold(query))])[0, 0] == n
 
 
+def naive_phrases(text, query):
+    n = i = 0
+    while i < len(query):
+        j = i + 1
+        while j < len(query) and query[i : j + 1] in text:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
+@pytest.mark.parametrize("lane, block", [(7, 1 << 21), (1, 40), (64, 100), (2048, 1 << 21)])
+def test_lanes_and_blocks_parse_like_the_uncut_text(monkeypatch, lane, block):
+    monkeypatch.setattr(langid, "LANE", lane)
+    monkeypatch.setattr(langid, "BLOCK", block)
+    r = random.Random(lane)
+    samples = {"x": "".join(r.choice("abc ") for _ in range(300)), "y": "ab" * 200 + "c" * 60}
+    texts = ["ab" * 150 + "z" + "c" * 40] + ["".join(r.choice("abcz ") for _ in range(r.randrange(1, 400))) for _ in range(30)] + [samples["x"], samples["y"] * 2]
+    m = langid.Model(samples)
+    got = m.phrases([m.codes(np.array([ord(c) for c in t], np.uint32)) for t in texts])
+    assert got.tolist() == [[naive_phrases(samples["x"], t), naive_phrases(samples["y"], t)] for t in texts]
+
+
+def test_language_id_equals_a_brute_force_version(docs):
+    samples = langid.fit_samples(docs.where(langid.learned()))
+    for r in langid.predict(docs.select("doc_id", "text"), samples, "text").collect():
+        assert r.lang_pred in (*samples, "und")
+    rows = docs.select("text").collect()
+    lang, score = langid.Model(samples).predict([r.text for r in rows])
+    for r, g, x in zip(rows, lang, score, strict=True):
+        f = langid.fold(r.text).tobytes().decode("utf-32-le")
+        if not f:
+            assert (g, x) == ("und", 0.0)
+        elif len(f) < 3000:
+            cost = sorted((naive_phrases(t, f) * np.log2(len(t) + 1) / len(f), k) for k, t in samples.items())
+            assert g == cost[0][1] and x == pytest.approx(1 - cost[0][0] / cost[1][0] if len(cost) > 1 else 1.0)
+
+
 def test_language_id(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     held = queries.op8_language_id(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").collect()
@@ -289,7 +352,8 @@ def components(nodes, links):
 
     def find(x):
         while root[x] != x:
-            x = root[x] = root[root[x]]
+            root[x] = root[root[x]]
+            x = root[x]
         return x
 
     for a, b in links:
@@ -332,6 +396,19 @@ def test_links_lose_no_pair(spark):
             assert (want[a] == want[b]) == (a == b or (a in roots and b in roots and roots[a] == roots[b]))
 
 
+@pytest.mark.parametrize("small", [1, 3])
+def test_large_buckets_lose_no_pair(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    test_links_lose_no_pair(spark)
+
+
+def test_carried_columns_may_be_named_like_results_in_any_case(spark):
+    frame = spark.createDataFrame([(1, "a b@c.dd e", "x", "y", "z", "q", {"odd name": 1})], "doc_id long, text string, N_Words string, PII_base string, Lang_Pred string, N_TOKENS string, m map<string,int>")
+    assert quality.ledger(frame).first()["n_words"] == 3 and pii.detect(frame, redacted=True).first()["pii_text"] == "a <email> e"
+    assert bpe.encode_texts(frame, queries.VOCABULARY, public_tokenizers.PATTERN).first()["n_tokens"] > 0
+    assert langid.predict(frame, {"en": "some text"}).first()["lang_pred"] == "en"
+
+
 def test_masks_cover_every_pair_of_positions():
     masks = simhash.covering_masks()
     assert len(masks) == 7
@@ -347,6 +424,16 @@ def test_sharding(spark, docs, none):
         sizes = Counter(r.shard for r in got)
         assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
         assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+    spread = defaultdict(Counter)
+    for x in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if x.text_crc32 in {zlib.crc32(f"copy {k}".encode()) for k in range(7)}:
+            spread[x.text_crc32][x.shard] += 1
+    met = sum(n * (n - 1) // 2 for c in spread.values() for n in c.values())
+    every = sum(n * (n - 1) // 2 for n in (sum(c.values()) for c in spread.values()))
+    assert len(spread) == 7 and met >= 0.5 * every  # a random deal keeps an eighth of the links of the small hubs uncut
+    again = spark.createDataFrame([(1, "same")] * 500 + [(None, None)] * 300 + [(2, "other")], "doc_id long, text string").repartition(3)
+    for x in (Counter(y.shard for y in sharding.shard(again).collect()),):
+        assert set(x) == set(range(8)) and max(x.values()) - min(x.values()) <= 1
     flood = Counter(r.shard for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["size"] == 6)
     assert sum(n for _, n in flood.most_common(3)) >= 0.95 * 300  # 300 copies, 112 or 113 rows a shard
     assert sharding.shard(none).count() == 0

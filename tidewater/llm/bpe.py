@@ -6,7 +6,9 @@ encoding of any prefix is read off backwards, bytes can be appended without redo
 the prefixes from the edit to the place where the old and new tables agree again.
 
 Whole texts are cut by the tokenizer's pattern and each match is encoded separately, without special tokens. Encodings of
-pieces are remembered in a bounded table per worker; forgetting costs time only. A null text is empty: no tokens.
+pieces are remembered in a bounded table per worker; forgetting costs time only. A null text is empty: no tokens. Repeated rows
+are encoded alike, empty tables give empty results, other columns are carried along except that one named like a result (in
+whatever case) gives way. A very long text is cut into stretches between pieces; its tokens are held whole, four bytes each.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import carried
 from .words import slices
 
 #: Pieces remembered by a worker before they age, and again until they go; characters cut into pieces at once.
@@ -210,7 +213,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 and, if asked, token_ids; columns of those names give way."""
     own = ["n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if ids else [])]
-    rest = [c for c in docs.columns if c not in own]
+    rest = carried(docs, own)
     at = rest.index(text_col)
     rows = docs.select(*[F.col(f"`{c}`") for c in rest])
 

@@ -4,8 +4,9 @@ measure() reads every whole text once and stores its measurements; ledger() eval
 stores the failures as bits; a policy is a named, versioned mask over those bits, so applying one, or asking what each rule of
 it removes alone (ablation()), is bitwise arithmetic on the ledger and never reads text again.
 
-A null text counts as empty; an empty text fails `few_words`. Repeated rows are judged alike. All columns of the input pass
-through ledger(), except that a column named like a measurement gives way to it.
+A null text counts as empty; an empty text fails `few_words`. Repeated rows are judged alike, empty tables give empty ledgers. All
+columns of the input pass through ledger(), except that a column named like a measurement (in whatever case) gives way to it. A
+very long text is measured whole, at about 60 bytes a byte.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .storage import carried
 from .words import WORD_BASE, Words, mix, rolling, slices
 
 REPEAT_WINDOW = 5
@@ -97,7 +100,7 @@ def _measures(column: pa.Array) -> list[np.ndarray]:
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with MEASURES added (long), each read from the whole text."""
-    rest = [c for c in docs.columns if c not in MEASURES]
+    rest = carried(docs, (*MEASURES, "fail_bits"))
     rows = docs.select(*[F.col(f"`{c}`") for c in rest])
     at = rest.index(text_col)
 
@@ -108,8 +111,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 new = [pa.array(np.asarray(m, np.int64)) for m in _measures(part.column(at))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*rest, *MEASURES])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"{m} long" for m in MEASURES)])
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)]))
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
