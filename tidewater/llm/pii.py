@@ -6,7 +6,13 @@ record, so a span always addresses the source. Three transducers run one after a
 triggers: FOLD (homoglyphs, full-width forms, invisible characters), SPELL (runs of spelled digits and `plus`), SIGNS (at and
 dot disguises). A disguised span that overlaps a plain one of its kind is dropped; plain ones always stay.
 
-Null and empty texts have no spans. All work is linear in the text's length. Repeated rows give equal results.
+Prose has `at` and `dot` too, so an address whose signs are all bare words counts only if they are of one language, its host does not
+begin with a determiner ("at the dot of"), and it ends in a word of two letters or more; any other sign that is bracketed or real
+is enough for the rest to be bare.
+
+Null and empty texts have no spans. All work is linear in the text's length; a text that holds a trigger takes sixteen bytes a
+character more. Ties don't arise (leftmost first, by kind). Repeated rows give equal results, empty tables empty ones; other columns
+are carried along except that one named like a result (in whatever case) gives way.
 """
 
 from __future__ import annotations
@@ -14,10 +20,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .storage import carried
 from .words import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -98,25 +107,25 @@ def find_base(text: str) -> list[Span]:
 class Tape:
     """Rewritten text with the source start and end of each of its characters."""
 
-    def __init__(self, text: str, start: list[int] | range | None = None, end: list[int] | range | None = None):
+    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
         self.text = text
-        self.start = range(len(text)) if start is None else start
-        self.end = range(1, len(text) + 1) if end is None else end
+        self.start = np.arange(len(text)) if start is None else start
+        self.end = np.arange(1, len(text) + 1) if end is None else end
 
     def rewrite(self, edits: Iterator[tuple[int, int, str]]) -> Tape:
         """edits: (from, to, new) over this tape, in order, apart. Each new character stands for the whole edited stretch."""
         text, start, end, at = [], [], [], 0
         for a, b, new in edits:
             text += (self.text[at:a], new)
-            start += (*self.start[at:a], *[self.start[a]] * len(new))
-            end += (*self.end[at:a], *[self.end[b - 1]] * len(new))
+            start += (self.start[at:a], np.full(len(new), self.start[a]))
+            end += (self.end[at:a], np.full(len(new), self.end[b - 1]))
             at = b
         if not at:
             return self
-        return Tape("".join(text) + self.text[at:], [*start, *self.start[at:]], [*end, *self.end[at:]])
+        return Tape("".join(text) + self.text[at:], np.concatenate([*start, self.start[at:]]), np.concatenate([*end, self.end[at:]]))
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.start[a], self.end[b - 1]
+        return int(self.start[a]), int(self.end[b - 1])
 
 
 # Letters of other scripts that look like these Latin ones, in order.
@@ -148,11 +157,15 @@ _DIGITS = {
 }
 _DOT_WORDS = ("dot", "point", "punkt", "punto")
 _AT_WORDS = ("at", "arroba", "chez")
+#: Words that say how often the digit after them stands.
+_TIMES = {"double": 2, "triple": 3, "doppel": 2, "doble": 2}
+_OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _DIGIT = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + "|[0-9])"
-_GAP = r"[\x20,.-]{1,2}"
+_SAID = rf"(?:(?:{'|'.join(_TIMES)})[\x20-])?{_DIGIT}"
+_GAP = r"[\x20,.()\[\]-]{1,3}"
 #: A run of at least four spelled digits, digits or dots in words, perhaps after a plus sign, with one spelled at least.
-_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[\x20-]?)?{_DIGIT}(?:{_GAP}(?:{_DIGIT}|{'|'.join(_DOT_WORDS)})(?![^\W_]))" + r"{3,}", re.I)
-_PART = re.compile(r"[^\x20,.-]+")
+_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[\x20-]?)?[(\[]?{_SAID}(?:{_GAP}(?:{_SAID}|{'|'.join(_DOT_WORDS)})(?![^\W_]))" + r"{3,}", re.I)
+_PART = re.compile(r"[^\x20,.()\[\]-]+")
 
 
 def _spell(tape: Tape) -> Iterator[tuple[int, int, str]]:
@@ -160,17 +173,21 @@ def _spell(tape: Tape) -> Iterator[tuple[int, int, str]]:
         parts = [(p.start(), p.end(), p.group().lower()) for p in _PART.finditer(tape.text, m.start(), m.end())]
         if not any(p in _DIGITS for *_, p in parts):
             continue
+        times = 1
         for k, (a, b, p) in enumerate(parts):
             if k and parts[k - 1][1] < a:
                 gap = tape.text[parts[k - 1][1] : a]
                 yield parts[k - 1][1], a, "." if gap.strip() == "." else ""
-            if p in _DIGITS or p in _DOT_WORDS or p == "plus":
-                yield a, b, _DIGITS.get(p, "+" if p == "plus" else ".")
+            if p in _TIMES:
+                times = _TIMES[p]
+                yield a, b, ""
             elif p.startswith("+") and p[1:] in _DIGITS:
                 yield a + 1, b, _DIGITS[p[1:]]
+            elif times > 1 or p in _DIGITS or p in _DOT_WORDS or p == "plus":
+                yield a, b, (_DIGITS.get(p, "+" if p == "plus" else p if p.isdigit() else ".")) * times
+                times = 1
 
 
-_OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _NAME = r"[A-Za-z0-9._%+-]+"
 _AT = rf"(?:\s{{0,2}}{_OPEN}\s{{0,2}}(?:{'|'.join(_AT_WORDS)}|@)\s{{0,2}}{_SHUT}\s{{0,2}}|\s{{1,2}}(?:{'|'.join(_AT_WORDS)})\s{{1,2}}|\s{{1,2}}@\s{{1,2}}|\s{{1,2}}@|@\s{{1,2}}|@)"
 _DOT = rf"(?:\s{{0,2}}{_OPEN}\s{{0,2}}(?:{'|'.join(_DOT_WORDS)}|\.)\s{{0,2}}{_SHUT}\s{{0,2}}|\s{{1,2}}(?:{'|'.join(_DOT_WORDS)})\s{{1,2}}|\s{{1,2}}\.\s{{1,2}}(?=[a-z]{{2,6}}\b)|\.)"
@@ -180,8 +197,9 @@ _AT_CUE = re.compile(rf"{_OPEN}\s{{0,2}}(?:{'|'.join(_AT_WORDS)}|@)\s{{0,2}}{_SH
 _LOCAL_DOT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s{{0,2}}{_OPEN}\s{{0,2}}(?:{'|'.join(_DOT_WORDS)}|\.)\s{{0,2}}{_SHUT}\s{{0,2}}|\s{{1,2}}(?:{'|'.join(_DOT_WORDS)})\s{{1,2}})\Z", re.I)
 _OCTETS = re.compile(rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}", re.I)
 _HOST_END = re.compile(r"[A-Za-z]{2,24}\Z")
-#: Where a host may end if both its signs are bare words, which prose also has.
-_BARE_END = frozenset("com org net edu gov mil int info biz io co ai app dev me tv uk de fr es it nl be ch at eu us ca au nz jp cn in br mx ar cl ru pl se no dk fi ie pt gr cz".split())
+#: The words for at and dot that go together, and determiners, which never begin a host said in words.
+_TOGETHER = {"at": ("dot", "punkt"), "arroba": ("punto", "dot"), "chez": ("point", "dot")}
+_DETERMINERS = {"the", "a", "an", "this", "that", "these", "those", "my", "your", "his", "her", "its", "our", "their", "each", "every", "any", "some", "no", "which", "what", "one", "le", "la", "les", "un", "une", "el", "los", "las", "der", "die", "das", "ein", "eine"}
 
 
 def _signs(tape: Tape) -> Iterator[tuple[int, int, str]]:
@@ -211,8 +229,10 @@ def _signs(tape: Tape) -> Iterator[tuple[int, int, str]]:
             continue
         if not (bracketed or "@" in sign.group() or disguised):
             continue  # "look at example.com" is prose
-        if not (bracketed or "@" in sign.group() or any(c in d.group() for d in dots for c in "[({<")) and text[dots[-1].end() : end].lower() not in _BARE_END:
-            continue
+        if not (bracketed or "@" in sign.group() or any(c in d.group() for d in dots for c in "[({<")):
+            said = {d.group().strip().lower() for d in dots} - {"."}
+            if not said <= set(_TOGETHER[sign.group().strip().lower()]) or _LABEL.match(text, sign.end()).group().lower() in _DETERMINERS:
+                continue
         edits.append((sign.start(), sign.end(), "@"))
         edits += [(d.start(), d.end(), ".") for d in dots]
         # the local part stands before; of bare words only those that the host has too are its dots
@@ -234,8 +254,8 @@ def _signs(tape: Tape) -> Iterator[tuple[int, int, str]]:
             at = b
 
 
-def find_spans(text: str) -> list[Span]:
-    """Plain and disguised identifiers, by kind as listed, then start."""
+def find_both(text: str) -> tuple[list[Span], list[Span]]:
+    """Plain identifiers, and plain and disguised ones; each by kind as listed, then start."""
     base = find_base(text)
     tape = Tape(text)
     if not text.isascii() and _FOLDED.search(text):
@@ -245,15 +265,21 @@ def find_spans(text: str) -> list[Span]:
     if _AT_CUE.search(tape.text) or _OCTETS.search(tape.text):
         tape = tape.rewrite(_signs(tape))
     if tape.text == text:
-        return base
+        return base, base
     taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     for kind, a, b in base:
         taken[kind].append((a, b))
+    every = list(base)
     for kind, a, b in find_base(tape.text):
         a, b = tape.source(a, b)
         if not _overlaps(taken[kind], a, b):
-            base.append((kind, a, b))
-    return sorted(base, key=lambda s: (KINDS.index(s[0]), s[1]))
+            every.append((kind, a, b))
+    return base, sorted(every, key=lambda s: (KINDS.index(s[0]), s[1]))
+
+
+def find_spans(text: str) -> list[Span]:
+    """Plain and disguised identifiers, by kind as listed, then start."""
+    return find_both(text)[1]
 
 
 def _overlaps(spans: list[tuple[int, int]], a: int, b: int) -> bool:
@@ -275,14 +301,14 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-SPANS = "array<struct<kind:string,start:long,end:long>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def detect(docs: DataFrame, text_col: str = "text", redacted: bool = False) -> DataFrame:
     """docs with pii_base and pii_spans (arrays of kind, start, end in code points, end exclusive) and, if asked, pii_text.
     Columns of those names give way."""
     own = ("pii_base", "pii_spans", "pii_text")
-    rest = [c for c in docs.columns if c not in own]
+    rest = carried(docs, own)
     at = rest.index(text_col)
     rows = docs.select(*[F.col(f"`{c}`") for c in rest])
 
@@ -292,8 +318,7 @@ def detect(docs: DataFrame, text_col: str = "text", redacted: bool = False) -> D
                 part = batch.slice(i, j - i)
                 base, spans, texts = [], [], []
                 for text in part.column(at).to_pylist():
-                    every = find_spans(text) if text else []
-                    plain = find_base(text) if text and every else []
+                    plain, every = find_both(text) if text else ([], [])
                     spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in every])
                     base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in plain])
                     if redacted:
@@ -301,8 +326,8 @@ def detect(docs: DataFrame, text_col: str = "text", redacted: bool = False) -> D
                 new = [pa.array(base, pa.list_(_SPAN)), pa.array(spans, pa.list_(_SPAN)), *([pa.array(texts, pa.string())] if redacted else [])]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*rest, *own[: len(new)]])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), f"pii_base {SPANS}", f"pii_spans {SPANS}", *(["pii_text string"] if redacted else [])])
-    return rows.mapInArrow(run, fields)
+    added = [T.StructField("pii_base", SPANS), T.StructField("pii_spans", SPANS), *([T.StructField("pii_text", T.StringType())] if redacted else [])]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
 
 
 def joined(column: str):
