@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions.expressions import canonical_url
-from tidewater.operators import chunk, classify, docquality, extract, panel, reconcile, relational, timeseries
+from tidewater.operators import chunk, classify, docquality, extract, factors, panel, reconcile, relational, timeseries
 from tidewater.sources import readers
 from tidewater.streaming.gate import gate_stream, windowed_counts
 
@@ -244,3 +244,121 @@ def test_the_bootstrap_query_draws_as_often_as_the_operator(spark):
     from tidewater.plans import registry
 
     assert 500 < registry.bootstrap_ci(spark, "/root/testdata/sf0.001").first().draws <= 2000
+
+
+def test_factor_side_against_least_squares(spark):
+    """Six names, two styles; a basket of two; each step against numpy."""
+    import datetime
+
+    r = np.random.default_rng(4)
+    n = 160
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(int(i)) for i in range(n)]
+    mkt, smb = r.normal(0, 0.01, n), r.normal(0, 0.01, n)
+    ret = {t: 0.0002 + b * mkt + c * smb + r.normal(0, 0.01, n) for t, b, c in (("B1", 1.2, 0.1), ("B2", 0.9, 0.3), ("S1", 1.0, 0.2), ("S2", 0.7, -0.4), ("N1", 1.1, 0.0), ("N2", 0.4, 0.5))}
+    rets = spark.createDataFrame([(t, d, float(x)) for t, xs in ret.items() for d, x in zip(days, xs, strict=True)], "ticker string, date date, ret double")
+    fac = spark.createDataFrame([(d, float(a), float(b), 0.0001) for d, a, b in zip(days, mkt, smb, strict=True)], "date date, MKT double, SMB double, RF double")
+
+    def resid(y, *xs):
+        x = np.column_stack([np.ones(n), *xs])
+        return y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+
+    table = factors.factor_table(rets, fac, ["B1", "B2"], "S1", ["S1", "S2"], ["MKT", "SMB"], ["N1", "N2"]).orderBy("date").toPandas()
+    raw = (ret["B1"] + ret["B2"]) / 2 - ret["S1"]
+    s1, s2, aif = resid(ret["S1"] - 0.0001, mkt, smb), resid(ret["S2"] - 0.0001, mkt, smb), resid(raw, mkt, smb, ret["S1"] - 0.0001)
+    assert np.allclose(table["AIF"], raw) and np.allclose(table["AIF_orth"], aif) and np.allclose(table["S1_orth"], s1) and np.allclose(table["S2_orth"], s2)
+    m = factors.design(rets, spark.createDataFrame(table), {"N1": "S2", "N2": "S1"}, ["MKT", "SMB"]).orderBy("date").toPandas()
+    one = m[m["ticker"] == "N1"]
+    assert len(m) == 2 * n and np.allclose(one["SECTOR"], s2) and np.allclose(one["excess"], ret["N1"] - 0.0001)
+    t = factors.teardown(rets, fac, "S2", "S1", "N1", ["MKT", "SMB"]).first()
+    e = resid(ret["S2"] - 0.0001, mkt, smb, ret["S1"] - 0.0001)
+    assert t.r2 == pytest.approx(1 - e.var() / (ret["S2"]).var()) and t.corr_sector == pytest.approx(np.corrcoef(ret["S2"], ret["S1"])[0, 1]) and "independent" in t.verdict
+    assert factors.universe(["N1"], ["B2", "B1"], ("S1",)) == ["B1", "B2", "N1", "S1"] and len(factors.universe([], [])) == 5
+
+
+def test_style_factors_and_report(spark):
+    five = spark.createDataFrame([("2024-01-02", 1.2, 0.5), ("2024-01-03", -0.9, 0.02)], "date string, ` Mkt-RF` double, RF double")
+    mom = spark.createDataFrame([("2024-01-03", 0.7)], "date string, `Mom   ` double")
+    got = factors.style_factors(five, mom).first()
+    assert (got["Mkt-RF"], got["MOM"]) == (pytest.approx(-0.009), pytest.approx(0.007))
+    rows = [("NVDA", "2024-01-01", -0.6), ("NVDA", "2024-01-20", 0.3), ("A", "2024-01-20", None)]
+    rep = factors.price_report(spark.createDataFrame(rows, "ticker string, date string, ret double").withColumn("date", F.to_date("date")), "NVDA").first()
+    assert (rep.n_gaps, rep.n_extreme, rep.no_long_gap, rep.split_continuous, rep.plausible_length) == (1, 1, False, False, False)
+
+
+def test_rank_correlation_has_the_p_of_students_t(spark):
+    rows = [(f"t{i}", float(i), float((i * 7) % 9)) for i in range(9)]
+    got = reconcile.spearman(spark.createDataFrame(rows, "ticker string, a double, b double"), "a", "b").first()
+    x = np.abs(got.rho) * np.sqrt(7 / (1 - got.rho**2))
+    grid = np.linspace(x, 4000, 4_000_001)
+    from math import gamma, pi, sqrt
+
+    density = gamma(4) / (sqrt(7 * pi) * gamma(3.5)) * (1 + grid**2 / 7) ** -4
+    assert got.p == pytest.approx(2 * np.trapezoid(density, grid), abs=1e-6)
+    assert reconcile._two_sided_t(0.0, 10) == pytest.approx(1) and reconcile._two_sided_t(0.5, 3) == pytest.approx(2 / 3)
+
+
+def test_label_slots_and_near_points(spark):
+    points = [("a", 0.0, 1.0), ("b", 0.1, 0.95), ("c", 0.05, 0.9), ("far", 9.0, 9.0)]
+    assert reconcile.label_offsets(points, 1.0) == {"far": reconcile.SLOTS[0], "a": reconcile.SLOTS[0], "b": reconcile.SLOTS[1], "c": reconcile.SLOTS[2]}
+    got = reconcile.near_points(spark.createDataFrame(points, "k string, x double, y double"), "k", "x", "y", 0.18, 0.16).collect()
+    assert {tuple(r) for r in got} == {(a, b) for a in "abc" for b in "abc" if a != b}
+
+
+def test_assembly_chunks_coverage_and_verification(spark):
+    body = "PART I\n" + "".join(f"Item {i}. {h}\n\n" + f"Sentence {i} stands here. " * n + "\n\n" for i, h, n in (("1", "Business", 300), ("1A", "Risk Factors", 900), ("3", "Legal Proceedings", 5), ("7", "Management's Discussion", 400), ("8", "Statements", 50)))
+    page = "<html>" + "".join(f"<p>{p}</p>" for p in body.split("\n")) + "<table><tr><td>Revenue</td><td>1,000</td><td>2,000</td></tr></table></html>"
+    index = spark.createDataFrame([("T", "Test Inc", 7, "10-K", "2024-02-01", "2023-12-31", "0001-24-000001", None)], "ticker string, company string, cik int, form string, filingDate string, reportDate string, accession string, items string")
+    listed = spark.createDataFrame([("0001-24-000001", 1, "10-K", "primary", "a.htm"), ("0001-24-000001", 2, "", "exhibit", "b.htm"), ("0001-24-000001", 3, "EX-99.1", "exhibit", "missing.htm")], "accession string, seq int, doc_type string, doc_role string, filename string")
+    raw = spark.createDataFrame([("0001-24-000001", "a.htm", bytearray(page.encode()), "2024-03-01"), ("0001-24-000001", "b.htm", bytearray(b"<p>short</p>"), "2024-03-01")], "accession string, filename string, raw binary, fetched_at string")
+    docs = extract.assemble(index, listed, raw)
+    got = {r.filename: r for r in docs.collect()}
+    assert set(got) == {"a.htm", "b.htm"} and got["b.htm"].doc_type == "10-K" and got["a.htm"].url.endswith("/7/000124000001/a.htm")
+    assert got["a.htm"].title == "T 10-K 2024-02-01 10-K" and got["a.htm"].raw_bytes == len(page) and len(got["a.htm"].content_sha256) == 64
+    assert [s["item"] for s in got["a.htm"].section_spans] == ["I.1", "I.1A", "I.3", "I.7", "I.8"] and got["a.htm"].n_tables_numeric == 1
+    c = chunk.build(docs)
+    rows = c.collect()
+    assert {r.period for r in rows} == {"2024Q1"} and all(r.title.endswith(f"#{r.chunk_ix}") for r in rows) and any(" Item I.1A #" in r.title for r in rows)
+    assert not any("1,000" in r.text for r in rows) and sum(r.table_chars_dropped for r in rows) > 0
+    cov = chunk.chunk_coverage(c).first()
+    assert cov.n == len(rows) and cov.n_over == 0 and cov.n_labelled == len(rows) - 1 and cov.n_tiny >= 1
+    assert [r.section_name for r in chunk.chunk_counts(c.where("section <> ''"), "section_name", 2).collect()] == ["risk_factors", "10-K:I.7"]
+    checks = {r.check: (r.value, r.verdict) for r in docquality.verify_sections(docs).collect()}
+    assert checks["coverage"][0] == 0.5 and checks["heading_1A"] == (1.0, "PASS") and checks["heading_3"] == (1.0, "PASS") and checks["median_sections"][1] == "CHECK" and checks["size_spread"][1] == "PASS"
+    assert docquality.section_report(docs).first().n_sections == 5 and relational.warning_histogram(docs, "warnings").collect() is not None
+
+
+def test_cached_harvest_prices_and_dump(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for force in (False, False, True):
+        assert readers.cached(spark, str(tmp_path / "c"), make, force).count() == 3
+    assert len(made) == 2
+    asked = spark.createDataFrame([("A", "2024Q1"), ("B", "2024Q1"), ("C", "2024Q1")], "ticker string, period string")
+    reply = lambda t, p: None if t == "C" else json.dumps([{"url": f"{t}{i}", "relevance": i / 10} for i in range(5)])
+    got = readers.harvest(asked, reply, "url:string,relevance:double", per_ticker=2).collect()
+    assert sorted(r.url for r in got) == ["A3", "A4", "B3", "B4"]
+    spark.sql("SELECT 'A' AS ticker, date'2024-01-01' + cast(id AS int) AS date, double(id) AS price FROM range(10)").write.parquet(str(tmp_path / "p"))
+    assert readers.prices(spark, str(tmp_path / "p"), ["A"], "2024-01-03", "2024-01-05").count() == 3
+    docs = spark.createDataFrame([(i, f"text {i}\nline") for i in range(6)], "doc_id long, text string")
+    assert readers.dump_texts(docs, str(tmp_path / "d"), 4).count() == 4 and len(list((tmp_path / "d").glob("doc_id=*"))) == 4
+
+
+def test_audit_rules_and_plug_in(spark):
+    docs = spark.createDataFrame([("a", "GPU and AI at scale"), ("b", "one gpu"), ("c", "none")], "doc_id string, text string")
+    got = {r.doc_id: r for r in classify.classify(classify.flag(docs, ["text"])).collect()}
+    assert (got["a"].ai_relevance, got["b"].ai_relevance, got["c"].gated_out) == ("substantive", "incidental", True)
+    with pytest.raises(Exception, match="no price"):
+        relational.log_costs(spark.createDataFrame([("x", 1, 1, 0, 0, False)], "model string, input int, output int, cache_read int, cache_write int, batch boolean"), {"m": (1, 1)}).collect()
+    assert classify.rubric({"b": "1"}, {"a": "2"}, {}) == classify.rubric({"b": "1"}, {"a": "2"}, {})
+    u = spark.createDataFrame([("A", "sec_filing", "risk_factors", -1)] * 15 + [("A", "sec_filing", "business", 1)] * 15, "ticker string, source_category string, section_name string, valence_ai int")
+    u = u.withColumn("ai_relevance", F.lit("substantive")).withColumn("period", F.lit("2024Q1")).withColumn("gated_out", F.lit(False)).withColumn("doc_id", F.monotonically_increasing_id())
+    assert classify.section_order(u).first().verdict == "PASS" and classify.negative_class(u).first().verdict == "PASS" and classify.failures(u).first().verdict == "none"
+    assert classify.thin_cells(u).first().n_thin == 0 and classify.review_sample(u.withColumn("text", F.lit("x" * 900)), "section_name", 4).count() == 8
+    news = docs.selectExpr("doc_id", "'A' AS ticker", "'2024Q1' AS period", "current_timestamp() AS date", "'t' AS title", "text", "'news' AS source_category", "'u' AS url")
+    chunks = news.withColumn("chunk_id", F.concat("doc_id", F.lit("#0"))).withColumn("section", F.lit("I.1")).withColumn("section_name", F.lit("business"))
+    both = classify.union_corpus(chunks, news).collect()
+    assert len(both) == 6 and {r.doc_id for r in both} == {"a#0", "b#0", "c#0", "a", "b", "c"} and all(r.parent_doc_id in "abc" for r in both)

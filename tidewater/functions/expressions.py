@@ -46,3 +46,8 @@ def average_rank(column: str, over) -> Column:
 
 def clamp(column: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), column))
+
+
+def document_url(cik, accession, document):
+    """Where an archived filing's document lies; the accession number loses its dashes."""
+    return F.concat_ws("/", F.lit("https://www.sec.gov/Archives/edgar/data"), F.col(cik).cast("string"), F.replace(accession, F.lit("-"), F.lit("")), document)

@@ -62,9 +62,18 @@ def parse_labels(answers: DataFrame, json_col: str) -> DataFrame:
     return got.withColumn("confidence", F.when(F.col("ai_relevance").isNotNull(), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(0.0))))
 
 
-def classify(df: DataFrame, rule: Callable[[DataFrame], DataFrame], gate: bool = True) -> DataFrame:
+def classify(df: DataFrame, rule: Callable[[DataFrame], DataFrame] | None = None, gate: bool = True) -> DataFrame:
     """The remote classifier is a function from gated rows to (doc_id, labels); the gate stands below it in the plan."""
-    return merge_labels(df, rule(gated(df, gate)))
+    return merge_labels(df, (rule or term_rule)(gated(df, gate)))
+
+
+def term_rule(sent: DataFrame) -> DataFrame:
+    """The labels of a rule that needs no model, for runs without one: two distinct terms or more are substantive, one is incidental."""
+    many = F.size("lexicon_terms") > 1
+    return sent.select(
+        "doc_id", F.when(many, "substantive").otherwise("incidental").alias("ai_relevance"), F.when(many, "A_builder").otherwise("E_none").alias("ai_role"),
+        F.when(F.size("lexicon_terms") > 3, "high").when(many, "medium").otherwise("low").alias("materiality"), F.lit(0).alias("valence_ai"), F.lit(0.5).alias("confidence"), F.element_at("lexicon_terms", 1).alias("evidence_span"),
+    )
 
 
 def merge_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -126,14 +135,16 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def cross_model(a: DataFrame, b: DataFrame, fields: list[str], number: str) -> DataFrame:
-    """Kappa of each field, and the correlation and exact share of a number, on rows that both labelled."""
+    """Kappa of each field, and the correlation (of more than two) and exact share of a number, on rows that both labelled; (field, n, value)."""
     both = a.select("doc_id", *[F.col(c).alias(f"{c}_a") for c in (*fields, number)]).join(b.select("doc_id", *[F.col(c).alias(f"{c}_b") for c in (*fields, number)]), "doc_id")
     out = None
     for f in fields:
         one = kappa(both, f"{f}_a", f"{f}_b").select(F.lit(f).alias("field"), "n", F.col("kappa").alias("value"))
         out = one if out is None else out.unionByName(one)
-    num = both.agg(F.count("*").alias("n"), F.when(F.count("*") > 2, F.corr(f"{number}_a", f"{number}_b")).alias("value")).select(F.lit(number).alias("field"), "n", "value")
-    return out.unionByName(num)
+    num = both.na.drop(subset=[f"{number}_a", f"{number}_b"]).agg(
+        F.count("*").alias("n"), F.bround(F.when(F.count("*") > 2, F.corr(f"{number}_a", f"{number}_b")), 3).alias("corr"), F.bround(F.avg((F.col(f"{number}_a") == F.col(f"{number}_b")).cast("int")), 3).alias("same")
+    )
+    return out.unionByName(num.select(F.lit(f"{number}_corr").alias("field"), "n", F.col("corr").alias("value"))).unionByName(num.select(F.lit(f"{number}_exact_match").alias("field"), "n", F.col("same").alias("value")))
 
 
 def audit(df: DataFrame) -> DataFrame:
@@ -144,3 +155,49 @@ def audit(df: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(s).alias("n_gated"), F.count_if(judged).alias("n_model"), F.count_if(~s & F.col("ai_relevance").isNull()).alias("n_failed"),
         F.try_divide(F.count_if(judged & (F.col("valence_ai") < 0)), F.count_if(judged)).alias("negative_share"), F.try_divide(F.count_if(F.col("ai_relevance") == "substantive"), F.count("ai_relevance")).alias("substantive_share"),
     )
+
+
+# What the audit looks at.
+LEAST_NEGATIVE, THIN_CELL, SCATTERED, LEAST_SECTION = 0.02, 5, 4, 15
+DISRUPTED = ("ADBE", "TEAM", "INTC")
+
+
+def section_order(df: DataFrame) -> DataFrame:
+    """Whether valence is conditioned on the aspect: mean of risk factors against that of business and management's discussion, over
+    substantive filings of sections with enough units. (risk, lowest of the others, verdict)"""
+    s = sent(df).where((F.col("ai_relevance") == "substantive") & (F.col("source_category") == "sec_filing") & (F.coalesce("section_name", F.lit("")) != ""))
+    means = s.groupBy("section_name").agg(F.avg("valence_ai").alias("mean"), F.count("valence_ai").alias("n")).where(F.col("n") >= LEAST_SECTION)
+    row = means.agg(F.max(F.when(F.col("section_name") == "risk_factors", F.col("mean"))).alias("risk"), F.min(F.when(F.col("section_name").isin("business", "mdna"), F.col("mean"))).alias("others"))
+    return row.withColumn("verdict", F.when(F.col("risk") < F.col("others"), "PASS").otherwise("CHECK"))
+
+
+def negative_class(df: DataFrame) -> DataFrame:
+    s = sent(df).where("ai_relevance = 'substantive'").agg(F.avg((F.col("valence_ai") < 0).cast("int")).alias("negative_share"))
+    return s.withColumn("verdict", F.when(F.col("negative_share") >= LEAST_NEGATIVE, "PASS").otherwise("CHECK"))
+
+
+def disrupted_names(df: DataFrame, names: tuple[str, ...] = DISRUPTED) -> DataFrame:
+    """Mean valence and units of names that the theme may hurt, over all substantive units and within risk factors."""
+    s = sent(df).where((F.col("ai_relevance") == "substantive") & F.col("ticker").isin(*names))
+    risk = F.when(F.col("section_name") == "risk_factors", F.col("valence_ai"))
+    return s.groupBy("ticker").agg(F.bround(F.avg("valence_ai"), 2).alias("mean"), F.count("valence_ai").alias("n"), F.bround(F.avg(risk), 2).alias("risk_mean"), F.count(risk).alias("risk_n"))
+
+
+def raw_shares(df: DataFrame) -> DataFrame:
+    """Share of substantive units by source category and name, before any shrinkage."""
+    hit = F.coalesce(F.col("ai_relevance") == "substantive", F.lit(False))
+    return df.groupBy("source_category", "ticker").agg(F.bround(F.avg(hit.cast("int")), 3).alias("share"), F.count_if(hit).alias("hits"), F.count("*").alias("n"))
+
+
+def thin_cells(df: DataFrame) -> DataFrame:
+    """Cells of name and period with substantive filings, how many there could be, and how many are thin."""
+    s = sent(df).where((F.col("ai_relevance") == "substantive") & (F.col("source_category") == "sec_filing"))
+    cells = s.groupBy("ticker", "period").agg(F.count("*").alias("n"))
+    possible = F.count_distinct("ticker") * F.count_distinct("period")
+    return cells.agg(F.count("*").alias("n_cells"), possible.alias("n_possible"), F.count_if(F.col("n") < THIN_CELL).alias("n_thin"))
+
+
+def failures(df: DataFrame) -> DataFrame:
+    """Rows without labels, over how many names, and whether they cluster."""
+    f = df.where(F.col("ai_relevance").isNull()).agg(F.count("*").alias("n_failed"), F.count_distinct("ticker").alias("n_names"))
+    return f.withColumn("verdict", F.when(F.col("n_failed") == 0, "none").when(F.col("n_names") > SCATTERED, "scattered").otherwise("CLUSTERED"))

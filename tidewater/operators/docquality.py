@@ -84,3 +84,25 @@ def section_report(docs: DataFrame) -> DataFrame:
     s = docs.where(F.size("section_spans") > 0).select("doc_id", "text", F.explode("section_spans").alias("s"))
     s = s.withColumn("size", F.col("s.end") - F.col("s.start")).withColumn("headed", F.expr("substring(text, s.start + 1, 40)").rlike(r"(?i)^[ \t|]*item"))
     return s.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.avg(F.col("headed").cast("int")).alias("headed_share"), F.try_divide(F.max("size"), F.min("size")).alias("spread"))
+
+
+# What the headings of four Items of an annual report say, and the verdicts' bounds.
+HEADINGS = {"1A": "risk factor", "7": "management", "3": "legal", "1": "business"}
+LEAST_MEDIAN, MOST_MEDIAN, LEAST_HEADED, LEAST_SPREAD = 12, 24, 0.80, 20
+
+
+def verify_sections(docs: DataFrame, head: int = 120) -> DataFrame:
+    """(check, value, verdict) over annual reports (form 10-K) and coverage over these and quarterly ones: filings with sections,
+    median number of sections, share of the headings of four Items that hold their phrase, largest median size over smallest."""
+    filed = docs.where(F.col("form").isin("10-K", "10-Q"))
+    annual = filed.where("form = '10-K'")
+    n = F.coalesce(F.size("section_spans"), F.lit(0))
+    ok = lambda good: F.when(good, "PASS").otherwise("CHECK")
+    coverage = filed.agg(F.avg((n > 0).cast("int")).alias("value")).select(F.lit("coverage").alias("check"), "value", F.lit("").alias("verdict"))
+    median = annual.agg(F.median(n).alias("value")).select(F.lit("median_sections").alias("check"), "value", ok(F.col("value").between(LEAST_MEDIAN, MOST_MEDIAN)).alias("verdict"))
+    s = annual.select("text", F.explode("section_spans").alias("s")).select(F.col("s.item").alias("label"), F.substring_index("s.item", ".", -1).alias("item"), (F.col("s.end") - F.col("s.start")).alias("size"), F.expr(f"lower(substring(text, cast(s.start as int) + 1, {head}))").alias("head"))
+    phrases = F.create_map(*[F.lit(x) for kv in HEADINGS.items() for x in kv])
+    heads = s.where(F.col("item").isin(*HEADINGS)).groupBy("item").agg(F.avg(F.contains("head", phrases[F.col("item")]).cast("int")).alias("value"))
+    headed = docs.sparkSession.createDataFrame([(i,) for i in HEADINGS], "item string").join(heads, "item", "left").select(F.concat(F.lit("heading_"), "item").alias("check"), "value", ok(F.col("value") >= LEAST_HEADED).alias("verdict"))
+    sizes = s.groupBy("label").agg(F.median("size").alias("m")).agg((F.max("m") / F.greatest(F.min("m"), F.lit(1))).alias("value")).select(F.lit("size_spread").alias("check"), "value", ok(F.col("value") > LEAST_SPREAD).alias("verdict"))
+    return coverage.unionByName(median).unionByName(headed).unionByName(sizes)

@@ -23,9 +23,46 @@ def align(text: DataFrame, market: DataFrame, text_score: str = "aia", market_sc
     return both.withColumn("gap", F.col("semantic_z") - F.col("beta_z")).withColumn("abs_gap", F.abs("gap"))
 
 
+def trailing_scores(index: DataFrame, quarters: int = 4) -> DataFrame:
+    """The text side of align(): means of the last periods that the index holds, and the units behind them, by entity."""
+    last = index.select("period").distinct().orderBy(F.desc("period")).limit(quarters)
+    return index.join(F.broadcast(last), "period").groupBy("ticker").agg(
+        F.avg("salience_shrunk").alias("salience"), F.avg("valence_shrunk").alias("valence"), F.avg("aia").alias("aia"), F.sum("n_substantive").alias("n_substantive")
+    )
+
+
+def trajectory(index: DataFrame, ticker: str) -> DataFrame:
+    """An entity's scores by period, rounded to three digits."""
+    scores = [F.bround(c, 3).alias(c) for c in ("salience_shrunk", "valence_shrunk", "aia")]
+    return index.where(F.col("ticker") == ticker).select("period", *scores, "n_substantive").orderBy("period")
+
+
+def _two_sided_t(rho: float | None, n: int) -> float | None:
+    """p of a correlation of n pairs: the tail of Student's t with n - 2 degrees of freedom, by its finite sum."""
+    if rho is None or n < 3 or abs(rho) >= 1:
+        return None if rho is None or n < 3 else 0.0
+    free = n - 2
+    angle = np.arctan(abs(rho) * np.sqrt(free / (1 - rho * rho)) / np.sqrt(free))
+    term, total, k = (np.cos(angle), np.cos(angle), 3) if free % 2 else (1.0, 1.0, 2)
+    while k < free:
+        term *= (k - 1) / k * np.cos(angle) ** 2
+        total += term
+        k += 2
+    inside = 2 / np.pi * (angle + np.sin(angle) * (total if free > 1 else 0.0)) if free % 2 else np.sin(angle) * total
+    return float(1 - inside)
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """rho, its p by Student's t, n. Ranks need all rows in one task: df is entity-sized."""
     everyone = Window.partitionBy()
-    return df.select(average_rank(a, everyone).alias("ra"), average_rank(b, everyone).alias("rb")).agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+    found = df.select(average_rank(a, everyone).alias("ra"), average_rank(b, everyone).alias("rb")).agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+
+    def with_p(batches):
+        for pdf in batches:
+            pdf["p"] = [_two_sided_t(None if pd.isna(r) else r, n) for r, n in zip(pdf["rho"], pdf["n"], strict=True)]
+            yield pdf
+
+    return found.mapInPandas(with_p, "rho double, n long, p double")
 
 
 def bootstrap_ci(df: DataFrame, a: str, b: str, draws: int = 2000, seed: int = 42) -> DataFrame:
@@ -74,3 +111,30 @@ def scatter_frame(df: DataFrame, flagged: int = 3) -> DataFrame:
     limit = df.agg((1.25 * F.max(F.greatest(F.abs("semantic_z"), F.abs("beta_z")))).alias("axis_limit"))
     top = largest_gaps(df, flagged).select("ticker", F.lit(True).alias("flagged"))
     return df.join(F.broadcast(limit)).join(F.broadcast(top), "ticker", "left").select("ticker", "semantic_z", "beta_z", F.coalesce("flagged", F.lit(False)).alias("flagged"), "axis_limit")
+
+
+def near_points(df: DataFrame, key: str, x: str, y: str, near_x: float, near_y: float) -> DataFrame:
+    """(key, other) of points that lie within both distances: a join on the cells of a grid of that width and the eight around each,
+    so no point meets the far ones."""
+    at = df.select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), F.floor(F.col(x) / near_x).alias("cx"), F.floor(F.col(y) / near_y).alias("cy"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    seen = at.withColumn("s", F.explode(around)).select(F.col("key").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    close = (F.abs(F.col("x") - F.col("ox")) < near_x) & (F.abs(F.col("y") - F.col("oy")) < near_y) & (F.col("key") != F.col("other"))
+    return at.join(seen, ["cx", "cy"]).where(close).select(F.col("key").alias(key), "other")
+
+
+#: Where a label may stand about its point, first choice first.
+SLOTS = ((0, 12, "center"), (0, -17, "center"), (-13, -4, "right"), (13, -4, "left"))
+
+
+def label_offsets(points: list[tuple[str, float, float]], span: float) -> dict[str, tuple[int, int, str]]:
+    """Where each label of a chart stands: from the top down, the first slot that no near neighbour (within 0.18 and 0.16 of the
+    span) has yet; the first if all are taken. A chart holds few points, so this runs where it is drawn."""
+    taken: list[tuple[float, float, int]] = []
+    out = {}
+    for name, x, y in sorted(points, key=lambda p: -p[2]):
+        near = {slot for a, b, slot in taken if abs(a - x) < 0.18 * span and abs(b - y) < 0.16 * span}
+        slot = min(set(range(len(SLOTS))) - near, default=0)
+        taken.append((x, y, slot))
+        out[name] = SLOTS[slot]
+    return out

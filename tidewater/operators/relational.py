@@ -90,3 +90,29 @@ def cost_summary(log: DataFrame, prices: dict[str, tuple[float, float]], batch_s
 
 def complete_cases(frames: list[DataFrame], on: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b, on), frames).na.drop()
+
+
+def distinct_counts(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    return df.groupBy(group).agg(*[F.count_distinct(c).alias(f"n_{c}") for c in columns])
+
+
+def pivot_mean(df: DataFrame, row: str, column: str, values: list[str], value: str) -> DataFrame:
+    """Means by row and column; cells without rows are null."""
+    return df.groupBy(row).pivot(column, values).agg(F.avg(value))
+
+
+def duplicate_members(df: DataFrame, content: Column, id_col: str, title_col: str) -> DataFrame:
+    """Every row whose content another row has: (content_sha256, id, title). Only hashes are counted; titles are joined on."""
+    rows = df.select(F.sha2(content, 256).alias("content_sha256"), F.col(id_col).alias("id"), F.col(title_col).alias("title"))
+    again = rows.groupBy("content_sha256").agg(F.count("*").alias("n")).where("n > 1").select("content_sha256")
+    return rows.join(again, "content_sha256", "left_semi")
+
+
+def log_costs(log: DataFrame, prices: dict[str, tuple[float, float]], cache_read: float = 0.1, batch_share: float = 0.5) -> DataFrame:
+    """log (task, model, input, output, cache_read, cache_write, batch) with usd, rounded to six digits, ready to be appended. Cached
+    reads cost a share of input, cache writes as input. A model without a price is an error."""
+    known = F.create_map(*[F.lit(x) for m, p in prices.items() for x in (m, F.array(*map(F.lit, map(float, p))))])[F.col("model")]
+    price = F.when(known.isNull(), F.raise_error(F.concat(F.lit("no price for "), F.col("model")))).otherwise(known)
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    cost = ((n("input") + n("cache_read") * cache_read + n("cache_write")) * price[0] + n("output") * price[1]) / 1e6
+    return log.withColumn("usd", F.round(cost * F.when(F.coalesce("batch", F.lit(False)), batch_share).otherwise(1.0), 6))

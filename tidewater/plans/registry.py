@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.expressions import canonical_url, period, short_id
-from tidewater.operators import chunk, classify, docquality, extract, panel, reconcile, relational, timeseries
+from tidewater.operators import chunk, classify, docquality, extract, factors, panel, reconcile, relational, timeseries
 from tidewater.sources.readers import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,10 +180,12 @@ def dedup_exact(spark, d):
     return relational.first_per_key(docs, ["h"], [F.col("doc_id")]).drop("h")
 
 
-@query("SELECT o_orderkey, o_custkey, 'new' AS _diff FROM orders WHERE o_orderkey % 7 <> 0 AND NOT o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, o_custkey, 'missing' FROM orders WHERE o_orderkey % 5 <> 0 AND NOT o_orderkey % 7 <> 0")
+@query("""WITH a AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS s FROM customer), b AS (SELECT DISTINCT (s_suppkey % 30)::INT AS k, 'BUILDING' AS s FROM supplier)
+SELECT k, s, 'new' AS _diff FROM a ANTI JOIN b USING (k, s) UNION ALL SELECT k, s, 'missing' FROM b ANTI JOIN a USING (k, s)""")
 def index_diff(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return relational.table_diff(o.where("o_orderkey % 7 <> 0"), o.where("o_orderkey % 5 <> 0"), ["o_orderkey"])
+    new = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("s")).distinct()
+    old = table(spark, d, "supplier").select((F.col("s_suppkey") % 30).cast("int").alias("k"), F.lit("BUILDING").alias("s")).distinct()
+    return relational.table_diff(new, old, ["k", "s"])
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
@@ -315,7 +317,13 @@ def html_extract(spark, d):
     return _extracted(spark, d).select("doc_id", "n_chars", "n_words", "n_tokens_est", "n_tables", "n_tables_numeric", F.sha2("text", 256).alias("text_sha256"), F.size("warnings").alias("n_warnings"))
 
 
-@query()
+@query(rf"""{_PAGES_SQL},
+r AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g') AS t FROM pages),
+r1 AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM r),
+r2 AS (SELECT page_id, trim(regexp_replace({"replace(" * len(_FOLDED)}t{_FOLD}, '\s+', ' ', 'g')) AS t FROM r1),
+w AS (SELECT page_id, list_distinct(list_filter(regexp_split_to_array(lower(g.t), '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(r2.t), '\s+'), lambda x: x <> '')) AS b,
+  length(regexp_replace(g.t, '[^\p{{L}}]', '', 'g')) / length(regexp_replace(r2.t, '[^\p{{L}}]', '', 'g')) AS kept FROM g JOIN r2 USING (page_id))
+SELECT page_id AS doc_id, round_even(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 4) AS jaccard, round_even(kept, 4) AS retention, round_even(kept, 4) < 0.98e0 AS content_loss, round_even(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 4) < 0.85e0 AS below_floor FROM w""")
 def cross_extractor(spark, d):
     return docquality.cross_check(_extracted(spark, d, True)).select("doc_id", "jaccard", "retention", "content_loss", "below_floor")
 
@@ -386,36 +394,20 @@ def design_of(spark, d):
     return r.where("ticker not in ('ASIA', 'AFRICA')").join(wide, "date").select("ticker", "date", "ret", F.col("ASIA").alias("x1"), F.col("AFRICA").alias("x2"))
 
 
-@query()
-def ols_multivariate(spark, d):
-    return rounded(timeseries.regress(design_of(spark, d), "ticker", "ret", ["x1", "x2"], "x1"), 7)
-
-
-@query()
-def orthogonalised(spark, d):
-    return rounded(timeseries.orthogonalise(design_of(spark, d), "ticker", "ret", ["x1", "x2"]), 7)
-
-
-@query()
-def rolling_beta_multivariate(spark, d):
-    return rounded(timeseries.rolling_beta(design_of(spark, d), "ticker", "ret", ["x1", "x2"], "x1"), 7)
-
-
-@query()
-def sanity_gate(spark, d):
-    return timeseries.sanity_gate(timeseries.regress(design_of(spark, d), "ticker", "ret", ["x1", "x2"], "x1"), ["EUROPE"], ["AMERICA"]).select("ticker", "want", "ok", "passed")
-
-
 # reconciliation -----------------------------------------------------------------------------------------------------
 
 SCORES = "sc AS (SELECT n_name AS ticker, avg(o_totalprice) AS aia, count(*) AS n_substantive FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), mk AS (SELECT n_name AS ticker, avg(c_acctbal) AS ai_beta, stddev_pop(c_acctbal) / 2000 AS ai_t, max(c_custkey) % 20 AS max_vif FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), al0 AS (SELECT *, (aia - avg(aia) OVER ()) / stddev_pop(aia) OVER () AS semantic_z, (ai_beta - avg(ai_beta) OVER ()) / stddev_pop(ai_beta) OVER () AS beta_z FROM sc JOIN mk USING (ticker)), al AS (SELECT *, semantic_z - beta_z AS gap FROM al0)"
 
 
+def market_of(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.groupBy(F.col("n_name").alias("ticker")).agg(F.avg("c_acctbal").alias("ai_beta"), (F.stddev_pop("c_acctbal") / 2000).alias("ai_t"), (F.max("c_custkey") % 20).alias("max_vif"))
+
+
 def aligned(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     text = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("n_name").alias("ticker")).agg(F.avg("o_totalprice").alias("aia"), F.count("*").alias("n_substantive"))
-    market = c.groupBy(F.col("n_name").alias("ticker")).agg(F.avg("c_acctbal").alias("ai_beta"), (F.stddev_pop("c_acctbal") / 2000).alias("ai_t"), (F.max("c_custkey") % 20).alias("max_vif"))
-    return reconcile.align(text, market)
+    return reconcile.align(text, market_of(spark, d))
 
 
 @query(f"WITH {SCORES} SELECT ticker, {R8('semantic_z', 'beta_z', 'gap')} FROM al")
@@ -430,7 +422,7 @@ def triage(spark, d):
 
 @query(f"WITH {SCORES}, r AS (SELECT rank() OVER (ORDER BY semantic_z) + (count(*) OVER (PARTITION BY semantic_z) - 1) / 2 AS a, rank() OVER (ORDER BY beta_z) + (count(*) OVER (PARTITION BY beta_z) - 1) / 2 AS b FROM al) SELECT round(corr(a, b), 8) AS rho, count(*) AS n FROM r")
 def spearman(spark, d):
-    return rounded(reconcile.spearman(aligned(spark, d), "semantic_z", "beta_z"))
+    return rounded(reconcile.spearman(aligned(spark, d), "semantic_z", "beta_z").drop("p"))
 
 
 @query(f"WITH {SCORES} SELECT ticker, CASE WHEN aia >= (SELECT median(aia) FROM al) THEN 'high' ELSE 'low' END || CASE WHEN gap >= 0 THEN '/positive' ELSE '/negative' END AS quadrant FROM al")
@@ -453,3 +445,204 @@ def windowed_events(spark, d):
     e = table(spark, d, "events")
     agg = e.groupBy(F.window(F.col("ts"), "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return agg.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+# factors ------------------------------------------------------------------------------------------------------------
+
+
+def two_regressors(src: str, y: str = "ret", over: str = "PARTITION BY ticker") -> str:
+    """Per row of src: coefficients, residual, r2 and what x1 has besides a constant and x2, by the normal equations."""
+    w = f"OVER ({over})"
+    return f"""n0 AS (SELECT *, covar_pop({y}, x1) {w} AS cy1, covar_pop({y}, x2) {w} AS cy2, covar_pop(x1, x2) {w} AS c12, var_pop(x1) {w} AS v1, var_pop(x2) {w} AS v2, avg({y}) {w} AS my, avg(x1) {w} AS m1, avg(x2) {w} AS m2, count(*) {w} AS n FROM {src}),
+n1 AS (SELECT *, (cy1 * v2 - cy2 * c12) / (v1 * v2 - c12 * c12) AS b1, (cy2 * v1 - cy1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM n0),
+n2 AS (SELECT *, {y} - my - b1 * (x1 - m1) - b2 * (x2 - m2) AS e, my - b1 * m1 - b2 * m2 AS b0, x1 - m1 - c12 / v2 * (x2 - m2) AS own FROM n1)"""
+
+
+DESIGN = """wide AS (SELECT date, max(ret) FILTER (WHERE ticker = 'ASIA') AS x1, max(ret) FILTER (WHERE ticker = 'AFRICA') AS x2 FROM rets GROUP BY date),
+dz AS (SELECT ticker, date, ret, x1, x2 FROM rets JOIN wide USING (date) WHERE ticker NOT IN ('ASIA', 'AFRICA') AND ret IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL)"""
+#: Newey-West for one coefficient: its influence e * own / sum(own^2) at five lags with Bartlett weights.
+HAC = """f0 AS (SELECT *, e * own / sum(own * own) OVER (PARTITION BY ticker) AS psi FROM n2),
+f1 AS (SELECT *, psi * psi + 2 * psi * (5 / 6.0e0 * coalesce(lag(psi, 1) OVER t, 0) + 4 / 6.0e0 * coalesce(lag(psi, 2) OVER t, 0) + 3 / 6.0e0 * coalesce(lag(psi, 3) OVER t, 0) + 2 / 6.0e0 * coalesce(lag(psi, 4) OVER t, 0) + 1 / 6.0e0 * coalesce(lag(psi, 5) OVER t, 0)) AS part FROM f0 WINDOW t AS (PARTITION BY ticker ORDER BY date)),
+f2 AS (SELECT ticker, any_value(b1) AS beta, sqrt(sum(part)) AS se, any_value(b0) * 252 AS alpha_ann, 1 - sum(e * e) / (any_value(n) * var_pop(ret)) AS r2, count(*) AS n_obs, 1 / (1 - any_value(c12) * any_value(c12) / any_value(v1) / any_value(v2)) AS vif FROM f1 GROUP BY ticker),
+f3 AS (SELECT *, beta / se AS t, abs(beta / se) / sqrt(2e0) AS z FROM f2),
+f4 AS (SELECT *, CASE WHEN z < 2.5e0 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda k: pow(-1e0, k) * exp((2 * k + 1) * ln(greatest(z, 1e-300)) - lgamma(k + 1)) / (2 * k + 1)))
+  ELSE exp(-z * z) / sqrt(pi()) / (z + list_reduce(list_transform(range(200, 0, -1), lambda k: k::DOUBLE), lambda acc, k: k / 2 / (z + acc), 0e0)) END AS p FROM f3)"""
+
+
+@query(f"WITH {PRICES}, {DESIGN}, {two_regressors('dz')}, {HAC} SELECT ticker, n_obs, {', '.join(f'round({c}, 7) + 0e0 AS {a}' for c, a in (('beta', 'beta'), ('se', 'se'), ('t', 't'), ('p', 'p'), ('beta - 1.959963984540054e0 * se', 'ci_lo'), ('beta + 1.959963984540054e0 * se', 'ci_hi'), ('alpha_ann', 'alpha_ann'), ('r2', 'r2'), ('vif', 'max_vif'), ('vif', 'vif_focus')))} FROM f4")
+def ols_multivariate(spark, d):
+    return rounded(timeseries.regress(design_of(spark, d), "ticker", "ret", ["x1", "x2"], "x1"), 7)
+
+
+@query(f"WITH {PRICES}, {DESIGN}, {two_regressors('dz')} SELECT ticker, date::VARCHAR AS date, round(e, 7) + 0e0 AS resid, round(1 - sum(e * e) OVER (PARTITION BY ticker) / (n * var_pop(ret) OVER (PARTITION BY ticker)), 7) AS r2 FROM n2")
+def orthogonalised(spark, d):
+    return rounded(timeseries.orthogonalise(design_of(spark, d), "ticker", "ret", ["x1", "x2"]), 7)
+
+
+@query(f"WITH {PRICES}, {DESIGN}, {two_regressors('dz', over='PARTITION BY ticker ORDER BY date ROWS 125 PRECEDING')} SELECT ticker, date::VARCHAR AS date, round(b1, 7) + 0e0 AS beta FROM n1 WHERE n = 126")
+def rolling_beta_multivariate(spark, d):
+    return rounded(timeseries.rolling_beta(design_of(spark, d), "ticker", "ret", ["x1", "x2"], "x1"), 7)
+
+
+@query(f"WITH {PRICES}, {DESIGN}, {two_regressors('dz')}, {HAC}, ok AS (SELECT ticker, CASE ticker WHEN 'EUROPE' THEN 'load' ELSE 'null' END AS want, CASE ticker WHEN 'EUROPE' THEN beta > 0 AND p < 0.05e0 ELSE p > 0.05e0 END AS ok FROM f4 WHERE ticker IN ('EUROPE', 'AMERICA')) SELECT *, bool_and(ok) OVER () AS passed FROM ok")
+def sanity_gate(spark, d):
+    return timeseries.sanity_gate(timeseries.regress(design_of(spark, d), "ticker", "ret", ["x1", "x2"], "x1"), ["EUROPE"], ["AMERICA"]).select("ticker", "want", "ok", "passed")
+
+
+#: Styles of the region returns: their mean (less a riskless 0.0002) and the spread of two; AFRICA is the sector fund, MIDDLE EAST
+#: and EUROPE the basket.
+FACTORS = "fac AS (SELECT date, avg(ret) - 0.0002e0 AS MKT, max(ret) FILTER (WHERE ticker = 'AMERICA') - max(ret) FILTER (WHERE ticker = 'ASIA') AS SMB, 0.0002e0 AS RF FROM rets WHERE ret IS NOT NULL GROUP BY date HAVING SMB IS NOT NULL)"
+STYLE, FUNDS, BASKET = ["MKT", "SMB"], ["AFRICA", "ASIA"], ["MIDDLE EAST", "EUROPE"]
+SECTOR_SQL = f"""ex AS (SELECT ticker, date, ret - RF AS y, MKT AS x1, SMB AS x2 FROM rets JOIN fac USING (date) WHERE ticker IN ('AFRICA', 'ASIA') AND ret IS NOT NULL),
+{two_regressors('ex', 'y')}, sec AS (SELECT ticker, date, e AS resid FROM n2)"""
+#: Three regressors (the styles and the fund) by taking out one after another.
+THEME_SQL = """raw0 AS (SELECT date, avg(ret) FILTER (WHERE ticker IN ('MIDDLE EAST', 'EUROPE')) - max(ret) FILTER (WHERE ticker = 'AFRICA') AS raw FROM rets WHERE ret IS NOT NULL GROUP BY date HAVING raw IS NOT NULL),
+h0 AS (SELECT raw0.date, raw AS y, MKT AS x1, SMB AS x2, r.ret - RF AS x3 FROM raw0 JOIN fac USING (date) JOIN rets r ON r.date = raw0.date AND r.ticker = 'AFRICA'),
+h1 AS (SELECT *, x1 - avg(x1) OVER () AS e1 FROM h0), h2 AS (SELECT *, x2 - avg(x2) OVER () - covar_pop(x2, e1) OVER () / var_pop(e1) OVER () * e1 AS e2 FROM h1),
+h3 AS (SELECT *, x3 - avg(x3) OVER () - covar_pop(x3, e1) OVER () / var_pop(e1) OVER () * e1 - covar_pop(x3, e2) OVER () / var_pop(e2) OVER () * e2 AS e3 FROM h2),
+h4 AS (SELECT *, y - avg(y) OVER () - covar_pop(y, e1) OVER () / var_pop(e1) OVER () * e1 - covar_pop(y, e2) OVER () / var_pop(e2) OVER () * e2 - covar_pop(y, e3) OVER () / var_pop(e3) OVER () * e3 AS e FROM h3),
+th AS (SELECT date, y AS raw, e AS resid, 1 - sum(e * e) OVER () / (count(*) OVER () * var_pop(y) OVER ()) AS r2 FROM h4)"""
+TABLE_SQL = f"{SECTOR_SQL}, {THEME_SQL}, tab AS (SELECT date, MKT, SMB, RF, th.raw AS AIF, th.resid AS AIF_orth, a.resid AS AFRICA_orth, b.resid AS ASIA_orth FROM fac JOIN th USING (date) JOIN sec a USING (date) JOIN sec b USING (date) WHERE a.ticker = 'AFRICA' AND b.ticker = 'ASIA')"
+
+
+def factors_of(spark, d):
+    r = returns_of(spark, d).where("ret is not null")
+    pick = lambda t: F.max(F.when(F.col("ticker") == t, F.col("ret")))
+    return r.groupBy("date").agg((F.avg("ret") - 0.0002).alias("MKT"), (pick("AMERICA") - pick("ASIA")).alias("SMB"), F.lit(0.0002).alias("RF")).where("SMB is not null")
+
+
+def factor_table_of(spark, d):
+    return factors.factor_table(returns_of(spark, d).where("ret is not null"), factors_of(spark, d), BASKET, "AFRICA", FUNDS, STYLE, ["AMERICA"])
+
+
+@query(f"WITH {PRICES}, {FACTORS}, {SECTOR_SQL} SELECT ticker, date::VARCHAR AS date, round(resid, 7) + 0e0 AS resid FROM sec")
+def sector_residuals(spark, d):
+    return rounded(factors.sector_residuals(returns_of(spark, d).where("ret is not null"), factors_of(spark, d), FUNDS, STYLE).drop("r2"), 7)
+
+
+@query(f"WITH {PRICES}, {FACTORS}, {THEME_SQL} SELECT date::VARCHAR AS date, round(raw, 7) + 0e0 AS raw, round(resid, 7) + 0e0 AS resid, round(r2, 7) AS r2 FROM th")
+def theme_factor(spark, d):
+    return rounded(factors.theme_factor(returns_of(spark, d).where("ret is not null"), factors_of(spark, d), BASKET, "AFRICA", STYLE, ["AMERICA"]), 7)
+
+
+@query(f"WITH {PRICES}, {FACTORS}, {TABLE_SQL} SELECT date::VARCHAR AS date, {', '.join(f'round({c}, 7) + 0e0 AS {c}' for c in ('MKT', 'SMB', 'RF', 'AIF', 'AIF_orth', 'AFRICA_orth', 'ASIA_orth'))} FROM tab")
+def factor_table(spark, d):
+    return rounded(factor_table_of(spark, d), 7)
+
+
+@query(f"WITH {PRICES}, {FACTORS}, {TABLE_SQL} SELECT ticker, date::VARCHAR AS date, round(ret - RF, 7) + 0e0 AS excess, round(MKT, 7) + 0e0 AS MKT, round(SMB, 7) + 0e0 AS SMB, round(CASE ticker WHEN 'AMERICA' THEN ASIA_orth ELSE AFRICA_orth END, 7) + 0e0 AS SECTOR, round(AIF_orth, 7) + 0e0 AS AIF FROM rets JOIN tab USING (date) WHERE ticker IN ('AMERICA', 'EUROPE') AND ret IS NOT NULL")
+def design_matrix(spark, d):
+    return rounded(factors.design(returns_of(spark, d), factor_table_of(spark, d), {"AMERICA": "ASIA", "EUROPE": "AFRICA"}, STYLE), 7)
+
+
+@query()
+def factor_betas(spark, d):
+    """The whole factor side: designs of each name's own sector, then the regression. Its parts have SQL; its four regressors don't."""
+    m = factors.design(returns_of(spark, d), factor_table_of(spark, d), {"AMERICA": "ASIA", "EUROPE": "AFRICA"}, STYLE)
+    return rounded(timeseries.regress(m, "ticker", "excess", [*STYLE, "SECTOR", "AIF"], "AIF"), 7)
+
+
+@query(f"WITH {PRICES}, {FACTORS}, k AS (SELECT date, max(ret) FILTER (WHERE ticker = 'EUROPE') AS a, max(ret) FILTER (WHERE ticker = 'AFRICA') AS b, max(ret) FILTER (WHERE ticker = 'AMERICA') AS c FROM rets GROUP BY date), "
+       "g0 AS (SELECT a - RF AS y, MKT AS x1, SMB AS x2, b - RF AS x3 FROM k JOIN fac USING (date) WHERE a IS NOT NULL AND b IS NOT NULL), g1 AS (SELECT *, x1 - avg(x1) OVER () AS e1 FROM g0), g2 AS (SELECT *, x2 - avg(x2) OVER () - covar_pop(x2, e1) OVER () / var_pop(e1) OVER () * e1 AS e2 FROM g1), "
+       "g3 AS (SELECT *, x3 - avg(x3) OVER () - covar_pop(x3, e1) OVER () / var_pop(e1) OVER () * e1 - covar_pop(x3, e2) OVER () / var_pop(e2) OVER () * e2 AS e3 FROM g2), q AS (SELECT (pow(covar_pop(y, e1), 2) / var_pop(e1) + pow(covar_pop(y, e2), 2) / var_pop(e2) + pow(covar_pop(y, e3), 2) / var_pop(e3)) / var_pop(y) AS r2 FROM g3) "
+       "SELECT 'EUROPE' AS etf, round(corr(a, b), 7) AS corr_sector, round(corr(a, c), 7) AS corr_yardstick, round(corr(b, c), 7) AS corr_between, round((SELECT r2 FROM q), 7) AS r2, CASE WHEN (SELECT r2 FROM q) > 0.85e0 THEN 'mostly a tech/market repackage with little independent variance' ELSE 'retains meaningful independent variance' END AS verdict FROM k")
+def etf_teardown(spark, d):
+    return rounded(factors.teardown(returns_of(spark, d).where("ret is not null"), factors_of(spark, d), "EUROPE", "AFRICA", "AMERICA", STYLE), 7)
+
+
+@query(f"""WITH {PRICES}, dd AS (SELECT DISTINCT date FROM rets WHERE ret IS NOT NULL), s AS (SELECT count(*) AS n_dates, date_diff('day', min(date), max(date)) / 365.25e0 * 252 AS n_expected FROM dd),
+g AS (SELECT count(*) FILTER (WHERE gap > 5) AS n_gaps FROM (SELECT date - lag(date) OVER (ORDER BY date) AS gap FROM dd)), x AS (SELECT count(DISTINCT ticker) AS n_extreme FROM rets WHERE abs(ret) > 0.25), w AS (SELECT min(ret) AS worst_day FROM rets WHERE ticker = 'ASIA')
+SELECT n_dates, round(n_expected, 7) AS n_expected, n_gaps, n_extreme, round(worst_day, 7) AS worst_day, n_gaps = 0 AS no_long_gap, n_dates / n_expected BETWEEN 0.95 AND 1.05 AS plausible_length, worst_day > -0.5 AS split_continuous FROM s, g, x, w""")
+def price_report(spark, d):
+    return rounded(factors.price_report(returns_of(spark, d), "ASIA"), 7)
+
+
+@query(f"WITH {PRICES} SELECT ticker, count(*) AS n, round(count(*) / (date_diff('day', min(date), max(date)) / 365.25e0 * 52), 8) AS share, count(*) / (date_diff('day', min(date), max(date)) / 365.25e0 * 52) BETWEEN 0.95 AND 1.05 AS dense FROM rets WHERE ret IS NOT NULL GROUP BY ticker")
+def density(spark, d):
+    return rounded(timeseries.density(returns_of(spark, d).where("ret is not null"), per_year=52))
+
+
+# the rest of the survey ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT source, count(DISTINCT lang) AS n_lang, count(DISTINCT n_chars) AS n_n_chars FROM documents GROUP BY source")
+def distinct_counts(spark, d):
+    return relational.distinct_counts(table(spark, d, "documents"), "source", ["lang", "n_chars"])
+
+
+@query("SELECT source, round(avg(n_chars) FILTER (WHERE lang = 'en'), 8) AS en, round(avg(n_chars) FILTER (WHERE lang = 'fr'), 8) AS fr, round(avg(n_chars) FILTER (WHERE lang = 'de'), 8) AS de FROM documents GROUP BY source")
+def pivot_mean(spark, d):
+    return rounded(relational.pivot_mean(table(spark, d, "documents"), "source", "lang", ["en", "fr", "de"], "n_chars"))
+
+
+@query("SELECT sha256(text) AS content_sha256, doc_id AS id, source AS title FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")
+def duplicate_members(spark, d):
+    return relational.duplicate_members(table(spark, d, "documents"), F.col("text"), "doc_id", "source")
+
+
+#: Counts whose costs have six digits at most, so no rounding of halves comes in.
+@query("SELECT event_id, round(((event_id % 500 * 2 + event_id % 50 * 20 * 0.1e0 + event_id % 7 * 2) * 1.0e0 + event_id % 77 * 2 * 5.0e0) / 1e6 * CASE WHEN event_id % 3 = 0 THEN 0.5e0 ELSE 1.0e0 END, 6) AS usd FROM events")
+def log_costs(spark, d):
+    log = table(spark, d, "events").selectExpr("event_id", "'m0' AS model", "event_id % 500 * 2 AS input", "event_id % 77 * 2 AS output", "event_id % 50 * 20 AS cache_read", "event_id % 7 * 2 AS cache_write", "event_id % 3 = 0 AS batch")
+    return rounded(relational.log_costs(log, {"m0": (1.0, 5.0)}).select("event_id", "usd"), 6)
+
+
+@query(f"{FULL} SELECT period, round_even(salience_shrunk, 3) + 0e0 AS salience_shrunk, round_even(valence_shrunk, 3) + 0e0 AS valence_shrunk, round_even(aia, 3) + 0e0 AS aia, n_substantive::BIGINT AS n_substantive FROM idx WHERE ticker = 'NATION_6'")
+def trajectory(spark, d):
+    return rounded(reconcile.trajectory(index(spark, d), "NATION_6"), 6)
+
+
+@query(f"""{FULL}, {SCORES}, last AS (SELECT DISTINCT period FROM idx ORDER BY period DESC LIMIT 4), sem AS (SELECT ticker, avg(idx.aia) AS aia FROM idx SEMI JOIN last USING (period) GROUP BY ticker),
+j AS (SELECT ticker, sem.aia, ai_beta FROM sem JOIN mk USING (ticker)) SELECT ticker, round((aia - avg(aia) OVER ()) / stddev_pop(aia) OVER () - (ai_beta - avg(ai_beta) OVER ()) / stddev_pop(ai_beta) OVER (), 7) + 0e0 AS gap FROM j""")
+def trailing_gap(spark, d):
+    return rounded(reconcile.align(reconcile.trailing_scores(index(spark, d)), market_of(spark, d)).select("ticker", "gap"), 7)
+
+
+@query(f"WITH {SCORES} SELECT a.ticker, b.ticker AS other FROM al a JOIN al b ON a.ticker <> b.ticker AND abs(a.semantic_z - b.semantic_z) < 0.5 AND abs(a.beta_z - b.beta_z) < 0.4")
+def near_points(spark, d):
+    return reconcile.near_points(aligned(spark, d), "ticker", "semantic_z", "beta_z", 0.5, 0.4)
+
+
+@query(f"{BASE}, m AS (SELECT section_name, avg(valence_ai) AS mean FROM units WHERE ai_relevance = 'substantive' GROUP BY 1 HAVING count(*) >= 15), q AS (SELECT max(mean) FILTER (WHERE section_name = 'BUILDING') AS risk, min(mean) FILTER (WHERE section_name IN ('MACHINERY', 'FURNITURE')) AS others FROM m) SELECT round(risk, 8) + 0e0 AS risk, round(others, 8) + 0e0 AS others, CASE WHEN risk < others THEN 'PASS' ELSE 'CHECK' END AS verdict FROM q")
+def section_order(spark, d):
+    return rounded(classify.section_order(_filed(spark, d)))
+
+
+@query(f"{BASE} SELECT round(avg((valence_ai < 0)::INT), 8) AS negative_share, CASE WHEN avg((valence_ai < 0)::INT) >= 0.02 THEN 'PASS' ELSE 'CHECK' END AS verdict FROM units WHERE ai_relevance = 'substantive'")
+def negative_class(spark, d):
+    return rounded(classify.negative_class(_filed(spark, d)))
+
+
+@query(f"{BASE} SELECT ticker, round_even(avg(valence_ai), 2) + 0e0 AS mean, count(*) AS n, round_even(avg(valence_ai) FILTER (WHERE section_name = 'BUILDING'), 2) + 0e0 AS risk_mean, count(*) FILTER (WHERE section_name = 'BUILDING') AS risk_n FROM units WHERE ai_relevance = 'substantive' AND ticker IN ('NATION_6', 'NATION_7', 'NATION_8') GROUP BY ticker")
+def disrupted_names(spark, d):
+    return rounded(classify.disrupted_names(_filed(spark, d), ("NATION_6", "NATION_7", "NATION_8")))
+
+
+@query(f"{BASE} SELECT source_category, ticker, round_even(avg((ai_relevance = 'substantive')::INT), 3) + 0e0 AS share, count(*) FILTER (WHERE ai_relevance = 'substantive') AS hits, count(*) AS n FROM units GROUP BY 1, 2")
+def raw_shares(spark, d):
+    return rounded(classify.raw_shares(_filed(spark, d)))
+
+
+@query(f"{BASE}, c AS (SELECT ticker, period, count(*) AS n FROM units WHERE ai_relevance = 'substantive' GROUP BY 1, 2) SELECT count(*) AS n_cells, count(DISTINCT ticker) * count(DISTINCT period) AS n_possible, count(*) FILTER (WHERE n < 5) AS n_thin FROM c")
+def thin_cells(spark, d):
+    return classify.thin_cells(_filed(spark, d))
+
+
+@query(f"{BASE} SELECT count(*) AS n_failed, count(DISTINCT ticker) AS n_names, CASE WHEN count(DISTINCT ticker) > 4 THEN 'scattered' ELSE 'CLUSTERED' END AS verdict FROM units WHERE price > 400000")
+def failures(spark, d):
+    u = units(spark, d)
+    return classify.failures(u.withColumn("ai_relevance", F.when(F.col("price") <= 400000, F.col("ai_relevance"))))
+
+
+def _filed(spark, d):
+    """Units whose sections are named as the audit expects."""
+    named = F.create_map(*map(F.lit, ("BUILDING", "risk_factors", "MACHINERY", "business", "FURNITURE", "mdna")))
+    return units(spark, d).withColumn("section_name", F.coalesce(named[F.col("section_name")], F.col("section_name"))).withColumn("gated_out", F.lit(False))
+
+
+@query("""WITH j AS (SELECT l.doc_id, quality AS qa, toxic AS qb, quality + toxic AS va, quality * 2 AS vb FROM labels l), t AS (SELECT count(*)::DOUBLE AS n, avg((qa = qb)::INT) AS po, avg(qa) * avg(qb) + (1 - avg(qa)) * (1 - avg(qb)) AS pe FROM j)
+SELECT 'ai_relevance' AS field, n::BIGINT AS n, round_even((po - pe) / (1 - pe), 3) AS value FROM t UNION ALL SELECT 'valence_ai_corr', count(*), round_even(corr(va, vb), 3) FROM j UNION ALL SELECT 'valence_ai_exact_match', count(*), round_even(avg((va = vb)::INT), 3) FROM j""")
+def cross_model(spark, d):
+    x = table(spark, d, "labels")
+    one, other = x.selectExpr("doc_id", "quality AS ai_relevance", "quality + toxic AS valence_ai"), x.selectExpr("doc_id", "toxic AS ai_relevance", "quality * 2 AS valence_ai")
+    return classify.cross_model(one, other, ["ai_relevance"], "valence_ai")

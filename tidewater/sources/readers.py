@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.expressions import canonical_url, period, short_id
+from tidewater.operators.relational import top_n_per_group
 
 FEED = "array<struct<url:string,title:string,summary:string,time_published:string,source:string,source_domain:string,overall_sentiment_score:double,ticker_sentiment:array<struct<ticker:string,relevance_score:string,ticker_sentiment_score:string>>>>"
 FORMS = ("10-K", "10-Q", "8-K")
@@ -33,7 +36,8 @@ def write_tsv(df: DataFrame, path: str, digits: int = 8) -> None:
 
 
 def news_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each (article, ticker) of a dump {data: {ticker: {feed: [...]}}}; its relevance is the first entry of that ticker."""
+    """A row for each (article, ticker) of dumps, a file each (so many tasks as files; one holds
+    a reply of the news service, thousands of articles at most): {data: {ticker: {feed: [...]}}}; its relevance is the first entry of that ticker."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<data:map<string,struct<feed:{FEED}>>>").alias("j"))
     flat = raw.select(F.explode("j.data").alias("ticker", "x")).select("ticker", F.explode("x.feed").alias("a"))
     own = F.filter("a.ticker_sentiment", lambda s: s["ticker"] == F.col("ticker"))
@@ -48,8 +52,9 @@ def news_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def relevant_news(rows: DataFrame, floor: float = 0.5) -> DataFrame:
-    """Above the floor, one row an id."""
-    return rows.where(F.coalesce("av_relevance", F.lit(0.0)) >= floor).dropDuplicates(["doc_id"])
+    """Above the floor, one row an id: the most relevant, then the earliest, then by title and text."""
+    some = rows.where(F.coalesce("av_relevance", F.lit(0.0)) >= floor)
+    return top_n_per_group(some, ["doc_id"], [F.desc("av_relevance"), F.col("date").asc_nulls_last(), "title", "text", "url"], 1)
 
 
 def merge_shards(recent: DataFrame, shards: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,10 +70,6 @@ def filings(lists: DataFrame, columns: list[str], since: str, as_of: str, forms:
     return rows.where(F.col("form").isin(*forms) & F.col("filingDate").between(since, as_of)).orderBy("ticker", F.desc("filingDate"))
 
 
-def document_url(cik, accession, document):
-    return F.concat_ws("/", F.lit("https://www.sec.gov/Archives/edgar/data"), F.col(cik).cast("string"), F.replace(accession, F.lit("-"), F.lit("")), document)
-
-
 class _Index(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
@@ -119,3 +120,40 @@ def list_documents(spark: SparkSession, view: str) -> DataFrame:
 
     spark.udtf.register("list_documents", ListDocuments)
     return spark.sql(f"SELECT f.accession, d.* FROM {view} f, LATERAL list_documents(f.page, f.primary_document) d")
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The table at path; made and written there first if it is not there yet, or if forced. What a remote source returned, or any
+    costly table, is so had once."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if force or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        write_parquet(make(), path)
+    return spark.read.parquet(path)
+
+
+def harvest(requests: DataFrame, fetch: Callable[[str, str], str | None], schema: str, per_ticker: int = 10, retries: int = 3) -> DataFrame:
+    """Replies to requests (ticker, period) of a news service, the best `per_ticker` articles of each. fetch(ticker, period) gives a JSON
+    array of articles or None, which is asked again; it is given from outside, as no service is reached from here. Put behind cached()."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            replies = [next((x for _ in range(retries) if (x := fetch(r["ticker"], r["period"])) is not None), None) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(replies, pa.string())], ["ticker", "period", "reply"])
+
+    got = requests.select("ticker", "period").mapInArrow(run, "ticker string, period string, reply string")
+    articles = got.select("ticker", "period", F.explode(F.from_json("reply", f"array<struct<{schema}>>")).alias("a")).select("ticker", "period", "a.*")
+    return top_n_per_group(articles, ["ticker", "period"], [F.col("relevance").desc_nulls_last(), "url"], per_ticker)
+
+
+def prices(spark: SparkSession, path: str, tickers: list[str], first: str, last: str) -> DataFrame:
+    """(ticker, date, price) of a table of adjusted closes between two days; the filter reaches the scan."""
+    return spark.read.parquet(path).where(F.col("ticker").isin(*tickers) & F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).select("ticker", "date", "price")
+
+
+def dump_texts(docs: DataFrame, path: str, n: int, seed: int = 1) -> DataFrame:
+    """A few documents as text files for reading: n by a seeded hash of their id, a file each, written by the tasks. Returns what was
+    written: (doc_id, n_chars)."""
+    some = docs.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n).select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    some.select("text", "doc_id").write.mode("overwrite").option("lineSep", "\n").partitionBy("doc_id").text(path)
+    return some.select("doc_id", F.length("text").alias("n_chars"))
