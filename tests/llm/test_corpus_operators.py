@@ -627,6 +627,47 @@ def test_jaccard_finds_every_planted_near_copy(spark):
     assert jaccard.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most, parts", [(10**6, 10_000), (2500, 4), (900, 4)])
+def test_jaccard_settles_one_large_family(spark, monkeypatch, most, parts):
+    """Edited copies of one text, in many components: by one task, and in blocks with common shingles spread."""
+    from tidewater.llm import jaccard
+
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(r.choice((0, 1, 2, 3, 4))):
+            w[r.randrange(60)] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"s{k}x{i}" for i in range(30)) for k in range(40)] + texts[:20] + ["", None]
+    sets = [shingles_of(t) for t in texts]
+    want = components(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
+    assert len(set(want[i] for i in range(150))) > 10
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    census = frame.select("text").mapInArrow(jaccard._census(4), "kind int, key long, n long")
+    assert jaccard.common(census, 4).count() > 20
+    blocks, whole = [], jaccard.settle_large
+    monkeypatch.setattr(jaccard, "settle_large", lambda members, most: blocks.append(members.count()) or whole(members, most))
+    got = {x.doc_id: x.component for x in jaccard.near_duplicates(frame, most=most, parts=parts).collect()}
+    assert len(blocks) == (most < 10**6) and all(n > 100 for n in blocks)
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in got for j in got)
+
+
+def test_joined_equals_all_pairs():
+    from tidewater.llm import jaccard
+
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        base = r.integers(1, 10**9, 40)
+        sets = [np.unique(np.concatenate([r.choice(base, r.integers(20, 40), replace=False), r.integers(1, 10**9, r.integers(1, 6))])).astype(np.uint64) for _ in range(25)]
+        given = r.integers(0, 25, 25) if r.integers(2) else np.arange(25)
+        first = np.array([int(np.flatnonzero(given == g)[0]) for g in given])
+        links = [(i, int(first[i])) for i in range(25)] + [(i, j) for i in range(25) for j in range(i) if jaccard.near(sets[i], sets[j])]
+        want, got = components(range(25), links), jaccard.joined(sets, first)
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(25) for j in range(25))
+
+
 @pytest.mark.parametrize(
     "text, part",
     [
