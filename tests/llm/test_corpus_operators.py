@@ -3,18 +3,20 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm import bpe, chat, langid, media, mixing, pii, quality, queries, sharding, simhash, substring_dedup
+from tidewater.llm import bpe, chat, langid, media, mixing, pii, quality, queries, sharding, simhash, substring_dedup, words
 from tidewater.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,6 +79,22 @@ def test_substring_dedup_settles_repeats_inside_a_chunk_and_across(spark, monkey
     assert Counter((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in substring_dedup.remove_repeated_windows(frame).collect()) == brute_windows(rows)
 
 
+@pytest.mark.parametrize("step", [substring_dedup._anchors, substring_dedup._send])
+def test_windows_of_many_texts_are_hashed_within_a_bound_of_memory(monkeypatch, step):
+    """Batches of a stream must not be held together: the workers of an executor share what its heap leaves."""
+    monkeypatch.setattr(words, "_POWERS", {})
+    r = random.Random(2)
+    text = [" ".join(f"w{r.randrange(10**6)}" for _ in range(300)) for _ in range(6000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 1500)), pa.array(range(i, i + 1500)), pa.array(text[i : i + 1500]), pa.array([False] * 1500), pa.array([[1]] * 1500, pa.list_(pa.int64())), pa.array(range(i, i + 1500))], [*substring_dedup.TEXT, "text", "several", "anchors", "doc_id"]) for i in range(0, 6000, 1500)]
+    tracemalloc.start()
+    try:
+        for _ in step(35)(iter(b if step is substring_dedup._send else b.select([0, 1, 2]) for b in batches)):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 250e6
+    finally:
+        tracemalloc.stop()
+
+
 def brute_measures(t):
     w = WORD.findall(t or "")
     lines = [x for x in (t or "").split("\n") if WORD.search(x)]

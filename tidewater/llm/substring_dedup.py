@@ -33,7 +33,7 @@ from .words import OTHER_BASE, WORD_BASE, Words, rolling, slices
 
 WINDOW, ANCHOR = 35, 8
 #: Bytes of text in the chunk of a task that settles its own repeats; share of all rows from which a text is broadcast, and rows.
-CHUNK, HOT, HOT_ROWS = 4 << 20, 2000, 1000
+CHUNK, HOT, HOT_ROWS = 2 << 20, 2000, 1000
 TEXT = ["t1", "t2"]
 
 
@@ -83,16 +83,17 @@ def _repeats(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows regathered to about CHUNK bytes of text, a longer text alone."""
+    """Rows regathered to at most CHUNK bytes of text, a longer text alone."""
     held, n = [], 0
     for batch in batches:
         for i, j in slices(batch.column(at), CHUNK):
             part = batch.slice(i, j - i)
-            held.append(part)
-            n += part.column(at).nbytes
-            if n >= CHUNK:
+            more = part.column(at).nbytes
+            if held and n + more > CHUNK:
                 yield from pa.Table.from_batches(held).rename_columns(names).combine_chunks().to_batches()
                 held, n = [], 0
+            held.append(part)
+            n += more
     if held:
         yield from pa.Table.from_batches(held).rename_columns(names).combine_chunks().to_batches()
 
@@ -197,7 +198,7 @@ def _cut(window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            for i, j in slices(texts, 8 << 20):
+            for i, j in slices(texts, CHUNK):
                 part = batch.slice(i, j - i)
                 n_words, n_removed, spans, kept = [], [], [], []
                 for text, several, found in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
