@@ -592,7 +592,20 @@ def test_a_bucket_of_many_pictures_is_split(spark):
     points[200:] = points[:200]
     rows = [(i, bytearray(points[i].tobytes()), bytearray(bits[i].tobytes())) for i in range(400)]
     pairs = {(x.src, x.dst) for x in media.proposals(spark.createDataFrame(rows, "no long, points binary, bits binary").repartition(4)).collect()}
-    assert {(i + 200, i) for i in range(200)} <= pairs and len(pairs) <= 400 * media.NEXT * media.TABLES
+    assert {(i + 200, i) for i in range(200)} <= pairs and len(pairs) <= 400 * media.TABLES
+
+
+def test_no_bucket_loses_a_pair(spark, monkeypatch):
+    """Every picture holds the same eight descriptors, and two of them the same places: all 300 share every bucket."""
+    monkeypatch.setattr(media, "COUPLES", 20_000)
+    r = np.random.RandomState(6)
+    bits = np.broadcast_to(r.randint(0, 256, (8, 32)).astype(np.uint8), (300, 8, 32))
+    points = np.concatenate([r.rand(300, 8, 2) * 90, np.ones((300, 8, 1)), np.zeros((300, 8, 1))], 2).astype(np.float32)
+    points[150:] = points[:150]
+    rows = [(i, 1000 + i, bytearray(points[i].tobytes()), bytearray(bits[i].tobytes())) for i in range(300)]
+    described = spark.createDataFrame(rows, "no long, image long, points binary, bits binary").repartition(4)
+    assert {(i + 150, i) for i in range(150)} <= {(x.src, x.dst) for x in media.proposals(described.drop("image")).collect()}
+    assert {(max(x), min(x)) for x in media.confirmed(described).collect()} == {(i + 1150, i + 1000) for i in range(150)}
 
 
 def test_pipeline_stages(spark, docs):

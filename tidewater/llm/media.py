@@ -5,15 +5,15 @@ scales, the strongest POINTS of every cell of the image, so their number grows w
 intensity centroid and 256 binary tests turned by it. A turned patch is mostly a ramp, on which most random tests always answer
 alike, so the tests are chosen from a pool by their answers on seeded noise: as even as can be and little correlated.
 
-TABLES hash tables each key a descriptor by KEY_BITS of its bits. All keys are sorted over the cluster by table, key, SORT_BITS
-other bits of the descriptor and its angle, ties by a hash, in ranges: a bucket of any size is as many ranges as it needs, and no
-task holds one. In that order each descriptor proposes the images of the NEXT ones after it in its bucket that differ in at most
-FAR of the sorting bits: alike descriptors stand together, and proposals are linear in the bucket. (Where two ranges meet, the
-NEXT descriptors of each side don't propose each other.) A pair is checked if its descriptors met VOTES times or more at one
-difference of scale, with turns that agree. Checked pairs, matched by Hamming distance, must agree on one similarity transform (geometric consensus), which
-survives crops, turns, rescaling and edits of brightness or content. Confirmed pairs are links; connected components are the
-groups of copies. A pair that no bucket proposes still ends in one group if others join it: the README has the measured recall
-of pairs found in one group.
+TABLES hash tables each key a descriptor by KEY_BITS of its bits. Two descriptors of one bucket that differ in at most FAR of
+SORT_BITS other bits meet, however many the bucket holds. A pair of images is checked if VOTES or more different couples of their
+descriptors met that agree in scale, turn and place (within twice what the consensus below allows). Checked pairs, matched by Hamming distance, must agree on one
+similarity transform (geometric consensus), which survives crops, turns, rescaling and edits of brightness or content. Confirmed
+pairs are links; connected components are the groups of copies.
+
+The images are dealt into blocks of about BLOCK points, and each two blocks are a task, which joins their buckets in parts of
+COUPLES couples at most, so none is too large to be whole. In a task a pair that its links already join is not checked again.
+A description is sent once for each block: the join is quadratic in blocks, as meetings are in the images of a bucket.
 
 Byte-identical images share one description, so a flood of copies costs nothing. Undecodable, null or featureless images
 have no keypoints and only meet their exact copies (null media: nothing). Empty tables give empty results, columns besides id and
@@ -33,15 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import discard, materialise, shuffle_partitions
+from .storage import discard, materialise
 
 SCALES, STEP, POINTS, PATCH = 4, 0.75, 96, 9
-TABLES, KEY_BITS, SORT_BITS, TURN_BITS, LEVEL_BITS, NEXT, FAR, VOTES, MATCH, INLIERS = 8, 28, 24, 6, 2, 3, 4, 2, 56, 16
+TABLES, KEY_BITS, SORT_BITS, TURN_BITS, LEVEL_BITS, FAR, VOTES, MATCH, INLIERS = 8, 28, 24, 6, 2, 4, 2, 56, 16
 POOL, APART, SEEN = 3000, 0.35, 1_000_000
 #: A picture of few points is confirmed by half of them, but by FEWEST at least.
 FEWEST = 8
-#: Side of the cells that each keep so many points of a level; bytes compared at once.
-CELL, AT_ONCE = 96, 1 << 26
+#: Side of the cells that each keep so many points of a level; bytes compared at once; couples of descriptors joined at once.
+CELL, AT_ONCE, COUPLES = 96, 1 << 26, 1 << 21
+#: Points of a block, and the least number of blocks (so of tasks, LEAST * (LEAST + 1) / 2).
+BLOCK, LEAST = 400_000, 6
 _HEAD = re.compile(rb"\A(P[56])\s+(?:#[^\n]*\n\s*)*([0-9]+)\s+([0-9]+)\s+255\s")
 
 
@@ -128,8 +130,8 @@ def _tests() -> np.ndarray:
 
 
 POSE_BITS = LEVEL_BITS + TURN_BITS
-#: Bits of a difference of levels; how near the turns of two descriptors' votes must be, as the length of their mean.
-LEVELS, AGREE = LEVEL_BITS + 1, 0.98
+#: How near the turns of two couples must be, as the length of their mean.
+AGREE = 0.98
 _BITS = np.stack([np.random.RandomState(100 + t).permutation(256)[: KEY_BITS + SORT_BITS] for t in range(TABLES)])
 _POWERS = (1 << np.arange(max(KEY_BITS, SORT_BITS))).astype(np.int64)
 
@@ -179,7 +181,7 @@ def describe(grey: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def table_keys(points: np.ndarray, descriptors: np.ndarray) -> np.ndarray:
-    """One number for each key of a descriptor in a table: table, key, the bits that its bucket is sorted by, level, angle."""
+    """By table, a number for each descriptor: table, key, the bits that a bucket's descriptors are compared by, level, angle."""
     bits = np.unpackbits(descriptors, axis=1, bitorder="little").astype(np.int64)
     turn = np.floor(points[:, 3].astype(np.float64) / (2 * np.pi) * (1 << TURN_BITS)).astype(np.int64) % (1 << TURN_BITS)
     level = np.rint(np.log(points[:, 2].astype(np.float64)) / -np.log(STEP)).astype(np.int64)
@@ -188,35 +190,34 @@ def table_keys(points: np.ndarray, descriptors: np.ndarray) -> np.ndarray:
         ((((t << KEY_BITS) + bits[:, k[:KEY_BITS]] @ _POWERS[:KEY_BITS]) << SORT_BITS) + bits[:, k[KEY_BITS:]] @ _POWERS[:SORT_BITS] << POSE_BITS) + pose
         for t, k in enumerate(_BITS)
     ]
-    return np.unique(np.concatenate(keys))
-
-
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+    return np.concatenate(keys)
 
 
-def consensus(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray) -> int:
-    """Most matched points of two images that agree on one similarity transform."""
+def consensus(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray, needed: int = FEWEST) -> int:
+    """Most matched points of two images that agree on one similarity transform; 0 if fewer than that many are matched."""
     if not len(da) or not len(db):
         return 0
     best, least = np.zeros(len(da), np.int64), np.zeros(len(da), np.int32)
     back, close = np.zeros(len(db), np.int64), np.full(len(db), 257, np.int32)
     rows = max(1, AT_ONCE // (32 * len(db)))
+    wa, wb = (np.ascontiguousarray(d).view(np.uint64) for d in (da, db))
     for i in range(0, len(da), rows):
-        apart = _ONES[da[i : i + rows, None, :] ^ db[None, :, :]].sum(2, dtype=np.int32)
+        apart = np.bitwise_count(wa[i : i + rows, None, :] ^ wb[None, :, :]).sum(2, dtype=np.int32)
         best[i : i + rows], least[i : i + rows] = apart.argmin(1), apart.min(1)
         closer = apart.min(0) < close
         back[closer], close[closer] = i + apart.argmin(0)[closer], apart.min(0)[closer]
     good = np.flatnonzero((least <= MATCH) & (back[best] == np.arange(len(da))))
-    if len(good) < FEWEST:
+    if len(good) < needed:
         return 0
     a, b = pa_[good], pb[best[good]]
     za, zb = a[:, 1] + 1j * a[:, 0], b[:, 1] + 1j * b[:, 0]
     most = 0
     turn = np.exp(1j * (b[:, 3] - a[:, 3])) * (b[:, 2] / a[:, 2])
-    for t, x, y in zip(turn, za, zb, strict=True):  # each match proposes the transform of its own scale, angle and place
-        off = np.abs(t * (za - x) + y - zb)
-        near = off <= 3 + 0.08 * np.abs(za - x)
-        most = max(most, int(near.sum()))
+    rows = max(1, AT_ONCE // (32 * len(za)))
+    for i in range(0, len(za), rows):  # each match proposes the transform of its own scale, angle and place
+        away = za[None, :] - za[i : i + rows, None]
+        off = np.abs(turn[i : i + rows, None] * away + zb[i : i + rows, None] - zb[None, :])
+        most = max(most, int((off <= 3 + 0.08 * np.abs(away)).sum(1).max()))
     return most
 
 
@@ -244,64 +245,154 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(packed, no)"""
-    for batch in batches:
-        for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
-            packed = [table_keys(*_arrays(p, d)) for p, d in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-            no = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(k) for k in packed])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(packed)), pa.array(no)], ["packed", "no"])
-
-
 def _arrays(points: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(points, np.float32).reshape(-1, 4), np.frombuffer(bits, np.uint8).reshape(-1, 32)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (packed, no) in order: (src, low) of descriptors within NEXT places of one bucket; low is dst, level and turn between them."""
-    last = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        old = len(last[0])
-        packed, no = (np.concatenate([a, c.to_numpy(zero_copy_only=False)]) for a, c in zip(last, batch.columns, strict=True))
-        found = []
-        for s in range(1, NEXT + 1):
-            later = np.arange(max(old, s), len(packed))
-            a, b = packed[later], packed[later - s]
-            apart = ((a ^ b) >> POSE_BITS) & ((1 << SORT_BITS) - 1)
-            differ = _ONES[apart.astype("<u8").view(np.uint8).reshape(-1, 8)].sum(1)
-            ok = (a >> (SORT_BITS + POSE_BITS) == b >> (SORT_BITS + POSE_BITS)) & (differ <= FAR) & (no[later] != no[later - s])
-            x, y, a, b = no[later][ok], no[later - s][ok], a[ok] & ((1 << POSE_BITS) - 1), b[ok] & ((1 << POSE_BITS) - 1)
-            sign, level, turn = np.where(x > y, 1, -1), (a >> TURN_BITS) - (b >> TURN_BITS), a - b
-            found.append((np.maximum(x, y), np.minimum(x, y), sign * level, (sign * turn) & ((1 << TURN_BITS) - 1)))
-        last = packed[-NEXT:], no[-NEXT:]
-        src, dst, level, turn = (np.concatenate(c) for c in zip(*found, strict=True))
-        low = (((dst << LEVELS) + (level + (1 << LEVEL_BITS))) << TURN_BITS) + turn
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(low)], ["src", "low"])
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(src, dst) of the pairs (ia, ib and their points and bits) that agree."""
-    for batch in batches:
-        for at in range(0, len(batch), 1024):
-            part = batch.slice(at, 1024)
-            agree = []
-            for r in part.select(["pa", "da", "pb", "db"]).to_pylist():
-                a, b = _arrays(r["pa"], r["da"]), _arrays(r["pb"], r["db"])
-                agree.append(consensus(*a, *b) >= least_agreeing(min(len(a[0]), len(b[0]))))
-            yield pa.RecordBatch.from_arrays([part.column("ia"), part.column("ib")], ["src", "dst"]).filter(pa.array(agree, pa.bool_()))
+class _Block:
+    """Images of a block: their numbers, points and descriptors, image i at first[i]:first[i + 1], and their keys in order."""
+
+    def __init__(self, rows: pa.Table):
+        order = np.argsort(rows.column("no").to_numpy(), kind="stable")
+        rows = rows.take(pa.array(order))
+        self.no, self.image = (rows.column(c).to_numpy() for c in ("no", "image"))
+        held = [_arrays(p, d) for p, d in zip(rows.column("points").to_pylist(), rows.column("bits").to_pylist(), strict=True)]
+        self.first = np.r_[0, np.cumsum([len(d) for _, d in held])].astype(np.int64)
+        self.points = np.concatenate([p for p, _ in held]) if held else np.zeros((0, 4), np.float32)
+        self.bits = np.concatenate([d for _, d in held]) if held else np.zeros((0, 32), np.uint8)
+        self.owner = np.repeat(np.arange(len(held), dtype=np.int32), np.diff(self.first))
+        packed = np.concatenate([table_keys(self.points[i : i + 65536], self.bits[i : i + 65536]).reshape(TABLES, -1) for i in range(0, len(self.bits), 65536)] or [np.zeros((TABLES, 0), np.int64)], axis=1).ravel()
+        order = np.argsort(packed, kind="stable")
+        self.packed, self.point = packed[order], (order % max(len(self.bits), 1)).astype(np.int32)
+        self.bucket = self.packed >> (SORT_BITS + POSE_BITS)
+
+    def one(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.points[self.first[i] : self.first[i + 1]], self.bits[self.first[i] : self.first[i + 1]]
+
+
+def _couples(a: _Block, b: _Block, rows: np.ndarray, low: np.ndarray, many: np.ndarray) -> Iterator[np.ndarray]:
+    """Points of a and of b whose descriptors meet: of these rows of a with as many rows of b from low on."""
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(rows):
+        # a row alone may have more couples than that: as many as its bucket holds, not squared
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUPLES, "right")))
+        n = many[at:to]
+        x = np.repeat(rows[at:to], n)
+        y = np.arange(len(x)) + np.repeat(low[at:to] - (np.cumsum(n) - n), n)
+        at = to
+        near = np.bitwise_count(((a.packed[x] ^ b.packed[y]) >> POSE_BITS) & ((1 << SORT_BITS) - 1)) <= FAR
+        p, q = a.point[x[near]], b.point[y[near]]
+        if a is b:
+            later = a.owner[p] < a.owner[q]
+            p, q = p[later], q[later]
+        yield p, q
+
+
+def _proposed(a: _Block, b: _Block) -> Iterator[np.ndarray]:
+    """Codes (image of a, image of b) of the pairs to be checked, for some images of a at a time."""
+    if not len(a.bits) or not len(b.bits):
+        return
+    owner = a.owner[a.point]
+    rows = np.argsort(owner, kind="stable")
+    low = np.searchsorted(b.bucket, a.bucket, "left")[rows]
+    many = np.searchsorted(b.bucket, a.bucket, "right")[rows] - low
+    first = np.searchsorted(owner[rows], np.arange(len(a.no) + 1))
+    ends = np.r_[0, np.cumsum(many)][first]
+    i = 0
+    while i < len(a.no):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + COUPLES, "right")) - 1)
+        j = min(j, i + max(1, 4 * COUPLES // len(b.no)))
+        part, start, i = slice(first[i], first[j]), i, j
+        p, q = (np.concatenate(c) for c in zip(*_couples(a, b, rows[part], low[part], many[part]), (rows[:0], rows[:0]), strict=True))
+        pair = (a.owner[p].astype(np.int64) - start) * len(b.no) + b.owner[q]
+        kept = _several(pair, p)
+        pair, p, q = pair[kept], p[kept], q[kept]
+        level = np.rint(np.log(a.points[p, 2] / b.points[q, 2]) / np.log(STEP)).astype(np.int64) + SCALES
+        order = np.lexsort((q, p, pair * (2 * SCALES) + level))
+        p, q, code = p[order], q[order], (pair * (2 * SCALES) + level)[order]
+        once = np.r_[True, (code[1:] != code[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])][: len(code)]  # in however many tables
+        p, q, code = p[once], q[once], code[once]
+        (za, zb), (ta, tb) = ((x[:, 1] + 1j * x[:, 0] for x in (a.points[p], b.points[q])), (a.points[p, 3], b.points[q, 3]))
+        turn = np.exp(1j * (tb - ta)) * (b.points[q, 2] / a.points[p, 2])
+        agreed, left, s = [], np.arange(len(code)), 0
+        while len(left):  # each couple with the s-th after it of its pair
+            s += 1
+            left = left[left + s < len(code)]
+            left = left[code[left] == code[left + s]]
+            x, y = left, left + s
+            away = za[y] - za[x]
+            ok = np.abs(turn[x] * away + zb[x] - zb[y]) <= 2 * (3 + 0.08 * np.abs(away))
+            ok &= (np.abs(turn[x] + turn[y]) >= AGREE * np.abs(turn[x]) * VOTES) & (p[x] != p[y]) & (q[x] != q[y])
+            agreed.append(code[x[ok]])
+            if ok.any():  # no need to look further
+                left = left[~np.isin(code[left], agreed[-1])]
+        found = np.unique(np.concatenate([code[:0], *agreed])) // (2 * SCALES)
+        if len(found):
+            yield np.unique(found) + start * len(b.no)
+
+
+def _several(pair: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Which couples are of a pair with couples of two points p or more."""
+    last = np.zeros(int(pair.max(initial=-1)) + 1, np.int32)
+    last[pair] = p
+    more = np.zeros(len(last), bool)
+    more[pair[last[pair] != p]] = True
+    return more[pair]
+
+
+def _meet(check: bool):
+    """(src, dst) of the pairs of two blocks (side 0 and 1, or 0 alone): numbers if only proposed, images if confirmed and not
+    yet joined by others of the task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        a = _Block(table.filter(pa.array(side == 0)))
+        b = _Block(table.filter(pa.array(side == 1))) if (side == 1).any() else a
+        offset = 0 if a is b else len(a.no)
+        root = list(range(len(a.no) + (0 if a is b else len(b.no))))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        src, dst = [], []
+        for pairs in _proposed(a, b):
+            for i, j in zip((pairs // len(b.no)).tolist(), (pairs % len(b.no)).tolist(), strict=True):
+                if not check:
+                    src.append(max(a.no[i], b.no[j]))
+                    dst.append(min(a.no[i], b.no[j]))
+                elif (x := top(i)) != (y := top(offset + j)):
+                    one, other = a.one(i), b.one(j)
+                    needed = least_agreeing(min(len(one[0]), len(other[0])))
+                    if consensus(*one, *other, needed) >= needed:
+                        root[x] = y
+                        src.append(a.image[i])
+                        dst.append(b.image[j])
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return run
+
+
+def _tasks(described: DataFrame) -> DataFrame:
+    """(task, side, no, image, points, bits): each two blocks of images together, and each block by itself."""
+    held = described.where(F.octet_length("bits") >= 32 * FEWEST)
+    total = held.agg(F.sum(F.octet_length("bits") / 32)).first()[0] or 0
+    n = max(LEAST, int(-(-total // BLOCK)))
+    block = F.pmod(F.xxhash64("no"), F.lit(n)).cast("int")
+    dealt = held.select(block.alias("block"), "no", "image", "points", "bits").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return dealt.select((F.least("block", "other") * n + F.greatest("block", "other")).alias("task"), (F.col("block") > F.col("other")).cast("int").alias("side"), "no", "image", "points", "bits")
 
 
 def proposals(described: DataFrame) -> DataFrame:
     """(src, dst) of images (no, points, bits) to be checked."""
-    held = described.where(F.octet_length("bits") >= 32 * FEWEST).select("no", "points", "bits").mapInArrow(_held, "packed long, no long")
-    order = [F.col("packed"), F.xxhash64("packed", "no")]
-    met = held.repartitionByRange(shuffle_partitions(described.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_met, "src long, low long")
-    dst, pose = F.shiftright("low", LEVELS + TURN_BITS), F.col("low").bitwiseAND((1 << (LEVELS + TURN_BITS)) - 1)
-    dealt = met.repartition("src", dst).select("src", dst.alias("dst"), F.shiftright(pose, TURN_BITS).alias("level"), (pose.bitwiseAND((1 << TURN_BITS) - 1) * (2 * np.pi / (1 << TURN_BITS))).alias("angle"))
-    votes = dealt.groupBy("src", "dst", "level").agg(F.sum(F.cos("angle")).alias("x"), F.sum(F.sin("angle")).alias("y"))
-    # turns that agree add up to nearly their number; those of chance meetings cancel out
-    return votes.where(F.hypot("x", "y") >= AGREE * VOTES).select("src", "dst").distinct()
+    return _tasks(described.withColumn("image", F.col("no"))).groupBy("task").applyInArrow(_meet(False), "src long, dst long")
+
+
+def confirmed(described: DataFrame) -> DataFrame:
+    """(src, dst) links between images (no, image, points, bits): any two that are proposed and agree are joined by a path."""
+    return _tasks(described).groupBy("task").applyInArrow(_meet(True), "src long, dst long")
 
 
 def copies(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -314,9 +405,7 @@ def copies(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     each = named.where("media is not null").select("image", "media").mapInArrow(_describe, "image long, points binary, bits binary")
     unique = each.groupBy("image").agg(F.first("points").alias("points"), F.first("bits").alias("bits"))
     described = materialise(unique.sortWithinPartitions("image").withColumn("no", F.monotonically_increasing_id()), "media-described")
-    side = described.select("no", "image", "points", "bits")
-    both = proposals(described).join(side.toDF("src", "ia", "pa", "da"), "src").join(side.toDF("dst", "ib", "pb", "db"), "dst").select("ia", "ib", "pa", "da", "pb", "db")
-    links = materialise(both.mapInArrow(_confirm, "src long, dst long"), "media-links")
+    links = materialise(confirmed(described), "media-links")
     roots = connected_components(links).withColumnRenamed("id", "image")
     discard(links)
     first = rows.groupBy("image").agg(F.min("id").alias("first_id"))
