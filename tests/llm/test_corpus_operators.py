@@ -16,7 +16,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm import bpe, chat, langid, media, mixing, pii, quality, queries, sharding, simhash, substring_dedup, words
+from tidewater.llm import bpe, chat, jaccard, langid, media, mixing, pii, quality, queries, sharding, simhash, substring_dedup, words
 from tidewater.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -631,6 +631,30 @@ def alike(a, b):
     return a == b or 5 * len(a & b) >= 4 * len(a | b)
 
 
+def test_simhash_proposes_near_copies_and_all_it_joins_are_alike(spark):
+    r = random.Random(31)
+    texts = [" ".join(f"w{r.randrange(500)}" for _ in range(150)) for _ in range(60)]
+    copies = [t.replace(t.split()[40], "other", 1) for t in texts[:40]]
+    frame = spark.createDataFrame([(t,) for t in [*texts, *copies, *texts[:9], "", None]], "text string").repartition(3)
+    names = {t: jaccard._name(s) for t, s in zip([*texts, *copies], jaccard.shingle_sets(pa.array([*texts, *copies])), strict=True)}
+    rows = jaccard.by_simhash(frame).collect()
+    root = {x.shingles: x.root for x in rows}
+    assert len(root) == len(rows)
+    assert sum(names[t] in root and root.get(names[c]) == root[names[t]] for t, c in zip(texts, copies, strict=False)) >= 36
+    of = {names[t]: t for t in names}
+    assert all(alike(shingles_of(of[a]), shingles_of(of[b])) for a, b in root.items())
+
+
+def test_proposing_tables_lose_no_pair_of_small_buckets(spark):
+    r = random.Random(32)
+    fps = [r.getrandbits(64) for _ in range(300)]
+    near = [f ^ sum(1 << b for b in r.sample(range(64), r.randrange(1, jaccard.RADIUS + 1))) for f in fps]
+    frame = spark.createDataFrame([(simhash._signed(f),) for f in fps + near], "fp long")
+    links = {frozenset((x.src, x.dst)) for x in simhash.near_links(frame, simhash.covering_masks(jaccard.RADIUS), jaccard.RADIUS).collect()}
+    assert {frozenset((simhash._signed(a), simhash._signed(b))) for a, b in zip(fps, near, strict=True)} <= links
+    assert all(bin((min(x) ^ max(x)) & (1 << 64) - 1).count("1") <= jaccard.RADIUS for x in links)
+
+
 def test_jaccard_finds_every_planted_near_copy(spark):
     import corpus_pipeline
     from tidewater.llm import jaccard

@@ -1,14 +1,16 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles; the pipeline's stage.
+"""Near-duplicates by SimHash and the exact Jaccard similarity of word shingles; the pipeline's stage.
 
 Two texts are linked if the sets of their lower-cased five-word shingles overlap by NEAR of their union or more. Sets are held as
-64-bit rolling hashes, and equal sets are one. No such pair is missed, whatever the texts:
+64-bit rolling hashes, and equal sets are one. SimHash proposes first (by_simhash()): sets whose fingerprints, of PRINT-word
+shingles, lie within RADIUS bits by covering tables are one group, and each group is settled exactly, as a family is below. What
+no affordable radius reaches is found by the sets themselves, so that no pair is missed, whatever the texts:
 
 - In any one order of all shingles, sets that share o of n shingles share the k least of those within their first n - o + k.
   So each set sends its first n - ceil(0.6 n) + 1 shingles by hash, and must find ceil(0.8 n) - ceil(0.6 n) + 1 of them elsewhere,
   or it has no near copy and is done with.
 - Of the shingles found elsewhere the rarest come first; again only as many as any near copy must share one of meet in buckets,
   and a bucket's sets point at its least one. Components of those links are families; a near pair is always within one.
-- A family is settled exactly: in one task up to MOST shingles; a larger one in blocks (settle_large()), never in one task.
+- A family that SimHash has joined wholly is done. Another is settled exactly, from what SimHash has joined on: in one task up to MOST shingles; a larger one in blocks (settle_large()), never in one task.
 
 A shingle of very many sets (common()) is no bucket: it is ordered after all others, and its sets, spread over tasks, are linked
 through a node of its own. A text of fewer words than a shingle is one shingle; texts without a word are equal.
@@ -25,11 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import connected_components
 from .storage import materialise, shuffle_partitions
 from .words import WORD_BASE, Words, rolling, slices
 
 SHINGLE, NEAR, LESS = 5, (4, 5), (3, 5)
+#: Words of a shingle of the fingerprints (they lie nearer for short ones); bits that differ at most, for 2 ** (RADIUS + 1) - 1 tables.
+PRINT, RADIUS = 2, 5
 #: Rows up to which a table of a few numbers a row is broadcast; contents that a task remembers.
 FEW, SEEN = 1_000_000, 1_000_000
 #: Shingles, over all sets of a family, up to which one task settles it, and about which a block of a larger one has.
@@ -119,6 +124,21 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, fp, n) of sets that the task has not lately met."""
+    seen: set[int] = set()
+    for part, sets, names in _sets(batches, 0):
+        new = {}
+        for i, (name, s) in enumerate(zip(names, sets, strict=True)):
+            if name not in seen and len(s):
+                seen.add(name)
+                new[name] = (simhash.simhash(part.column(0)[i].as_buffer().to_pybytes(), PRINT), len(s))
+        if len(seen) > SEEN:
+            seen.clear()
+        fp = np.array([f for f, _ in new.values()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(new.keys(), pa.int64()), pa.array(fp), pa.array([n for _, n in new.values()], pa.int64())], ["name", "fp", "n"])
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for names, sets in _fresh(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["shingles", "tokens"])
@@ -234,8 +254,13 @@ def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    names, _, sets = _distinct(table)
-    return pa.table({"shingles": names, "root": names[joined(sets)]})
+    """root: of those already joined, if known."""
+    names, at, sets = _distinct(table)
+    known = None
+    if "root" in table.column_names:
+        _, first, which = np.unique(table.column("root").to_numpy()[at], return_index=True, return_inverse=True)
+        known = first[which]
+    return pa.table({"shingles": names, "root": names[joined(sets, known)]})
 
 
 def _settle_more(table: pa.Table) -> pa.Table:
@@ -297,9 +322,35 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
+def _settled(texts: DataFrame, families: DataFrame, most: int) -> DataFrame:
+    """(shingles, root) of the sets of families (shingles, n, family, and root if some are known to be joined)."""
+    large = materialise(families.groupBy("family").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("family"), "jaccard-large-families")
+    whole = texts.mapInArrow(_whole, "shingles long, tokens binary")
+    if large.isEmpty():
+        return whole.join(_small(families.drop("n")), "shingles").groupBy("family").applyInArrow(_settle, "shingles long, root long")
+    large = _small(large)
+    small = whole.join(_small(families.join(large, "family", "left_anti").drop("n")), "shingles")
+    members = whole.join(_small(families.join(large, "family")), "shingles").groupBy("shingles").agg(*(F.first(c).alias(c) for c in ("family", "n", "tokens")))
+    return small.groupBy("family").applyInArrow(_settle, "shingles long, root long").unionByName(settle_large(members, most))
+
+
+def by_simhash(texts: DataFrame, most: int = MOST) -> DataFrame:
+    """(shingles, root) of the sets that SimHash proposes: of each group, those that the exact check joins have one root. A group
+    of more than `most` shingles is dealt into blocks, each checked by itself: what lies across them is left to components()."""
+    prints = materialise(texts.mapInArrow(_prints, "name long, fp long, n long"), "jaccard-prints")
+    sizes = prints.groupBy("name").agg(F.max("n").alias("n"))
+    groups = materialise(simhash.groups(prints.select("name", "fp"), RADIUS).join(sizes, "name"), "jaccard-groups")
+    blocks = groups.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(most)).alias("blocks"))
+    family = F.xxhash64("group", F.pmod(F.xxhash64("name"), "blocks"))
+    dealt = materialise(groups.join(blocks, "group").select(F.col("name").alias("shingles"), family.alias("family")), "jaccard-proposed")
+    whole = texts.mapInArrow(_whole, "shingles long, tokens binary")
+    return materialise(whole.join(_small(dealt), "shingles").groupBy("family").applyInArrow(_settle, "shingles long, root long"), "jaccard-simhash")
+
+
 def components(texts: DataFrame, most: int = MOST, parts: int = PARTS) -> DataFrame:
     """(shingles, root) for the sets of texts (one column) that may have near copies; any other is a component of its own."""
     parts = min(parts, shuffle_partitions(texts.sparkSession))
+    known = by_simhash(texts, most)
     census = materialise(texts.mapInArrow(_census(parts), "kind int, key long, n long"), "jaccard-census")
     often = _small(materialise(common(census, parts), "jaccard-common"))
     held = texts.mapInArrow(_firsts, "token long, shingles long, n int").join(often, "token", "left")
@@ -312,14 +363,10 @@ def components(texts: DataFrame, most: int = MOST, parts: int = PARTS) -> DataFr
     families = connected_components(links).toDF("shingles", "family")
     sets = census.where("kind = 0").groupBy(F.col("key").alias("shingles")).agg(F.max("n").alias("n"))
     families = materialise(sets.join(families, "shingles"), "jaccard-families")
-    large = materialise(families.groupBy("family").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("family"), "jaccard-large-families")
-    whole = texts.mapInArrow(_whole, "shingles long, tokens binary")
-    if large.isEmpty():
-        return whole.join(_small(families.drop("n")), "shingles").groupBy("family").applyInArrow(_settle, "shingles long, root long")
-    large = _small(large)
-    small = whole.join(_small(families.join(large, "family", "left_anti").select("shingles", "family")), "shingles")
-    members = whole.join(_small(families.join(large, "family")), "shingles").groupBy("shingles").agg(*(F.first(c).alias(c) for c in ("family", "n", "tokens")))
-    return small.groupBy("family").applyInArrow(_settle, "shingles long, root long").unionByName(settle_large(members, most))
+    families = materialise(families.join(known, "shingles", "left").select("shingles", "n", "family", F.coalesce("root", "shingles").alias("root")), "jaccard-known")
+    apart = families.groupBy("family").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("family")
+    rest = materialise(_settled(texts, families.join(apart, "family"), most), "jaccard-rest")
+    return rest.unionByName(known.join(rest, "shingles", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, parts: int = PARTS) -> DataFrame:

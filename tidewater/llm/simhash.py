@@ -10,6 +10,9 @@ compared directly. In larger ones members are compared without listing pairs: at
 sends itself and its flips of the bits outside the mask to groups of 65 rows at most, and each group points at its smallest
 member. Components come from large-star and small-star rounds over those links.
 
+groups() proposes at a larger radius, for who checks the texts: there a larger bucket's members are compared with its least only,
+so pairs of such buckets may be missed.
+
 A null or wordless text has fingerprint zero and is linked like any other. Repeated rows share a fingerprint and a component;
 null ids keep their rows and never name a component unless it has no other id. Empty tables give empty results; columns besides
 id and text pass by, whatever their names. A very long text is hashed whole, at about 100 bytes a word.
@@ -74,18 +77,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(distinct: DataFrame, masks: list[int] | None = None) -> DataFrame:
-    """(src, dst) links between distinct fingerprints `fp` at two or fewer differing bits; each pair within that distance is
-    joined by a path of such links."""
+def near_links(distinct: DataFrame, masks: list[int] | None = None, radius: int = RADIUS) -> DataFrame:
+    """(src, dst) links between distinct fingerprints `fp` at `radius` or fewer differing bits. At radius 2 each pair within that
+    distance is joined by a path of such links; at others each that meets in a bucket of SMALL members or fewer is linked."""
     masks = masks or covering_masks()
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(masks)])
     tagged = distinct.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.mask", F.col("fp").bitwiseAND(F.col("x.mask")).alias("bucket"))
-    shared = tagged.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("t", "bucket", "n")
+    shared = tagged.groupBy("t", "bucket").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1").select("t", "bucket", "n", "least")
     every = tagged.join(shared, ["t", "bucket"])
     few = every.where(F.col("n") <= SMALL).groupBy("t", "bucket").agg(F.collect_list("fp").alias("all"))
-    close = F.expr(f"flatten(transform(all, a -> transform(filter(all, b -> b < a AND bit_count(a ^ b) <= {RADIUS}), b -> struct(a AS src, b AS dst))))")
+    close = F.expr(f"flatten(transform(all, a -> transform(filter(all, b -> b < a AND bit_count(a ^ b) <= {radius}), b -> struct(a AS src, b AS dst))))")
     pairs = few.select(F.explode(close).alias("p")).select("p.src", "p.dst")
     members = every.where(F.col("n") > SMALL)
+    if radius != RADIUS:
+        led = members.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= radius).select(F.col("fp").alias("src"), F.col("least").alias("dst"))
+        return led.where("src <> dst").unionByName(pairs).distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)).cast("long") for i in range(64)])
     free = F.filter(flips, lambda f: f.bitwiseAND(F.col("mask")) == 0)
     near = members.select("t", "fp", F.explode(F.transform(free, lambda f: F.col("fp").bitwiseXOR(f))).alias("via"))
@@ -106,3 +112,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lookup = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(lookup, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def groups(marked: DataFrame, radius: int) -> DataFrame:
+    """(name, group) of the rows (name, fp) whose fingerprint is linked with another row's, or equal to it."""
+    marked = materialise(marked.groupBy("name").agg(F.min("fp").alias("fp")), "simhash")
+    links = materialise(near_links(marked.select("fp").distinct(), covering_masks(radius), radius), "simhash-links")
+    linked = connected_components(links).toDF("fp", "root")
+    discard(links)
+    rooted = materialise(marked.join(linked, "fp", "left").select("name", F.coalesce("root", "fp").alias("group")), "simhash-groups")
+    several = rooted.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    return rooted.join(several, "group").select("name", "group")
