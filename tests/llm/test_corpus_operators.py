@@ -608,6 +608,39 @@ def test_no_bucket_loses_a_pair(spark, monkeypatch):
     assert {(max(x), min(x)) for x in media.confirmed(described).collect()} == {(i + 1150, i + 1000) for i in range(150)}
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_what_is_proposed_is_matched_at_once_as_one_by_one(monkeypatch, blocks):
+    """All pictures share four descriptors and places, so any two are proposed; few agree. None is matched by itself, and the links
+    join what those of every pair would."""
+    r = np.random.RandomState(8)
+    sizes = r.randint(media.FEWEST, 40, 90)
+    bits = [r.randint(0, 256, (n, 32)).astype(np.uint8) for n in sizes]
+    points = [np.column_stack([r.rand(n, 2) * 90, np.ones(n), np.zeros(n)]).astype(np.float32) for n in sizes]
+    for i in range(90):
+        k = len(bits[i % 60]) * (i % 3 + 2) // 4 if i >= 60 else 0  # a half, three quarters or all of another's
+        bits[i] = np.concatenate([bits[i % 60][:k], bits[i][k:]])
+        points[i] = np.concatenate([points[i % 60][:k], points[i][k:]])
+        bits[i][:4], points[i][:4] = bits[0][:4], points[0][:4]
+    side = np.arange(90) * blocks // 90
+    rows = {"no": range(90), "image": range(1000, 1090), "points": [x.tobytes() for x in points], "bits": [x.tobytes() for x in bits]}
+    table = pa.table(rows | {"side": pa.array(side, pa.int32())})
+    assert media._meet(False)(table).num_rows == (90 * 89 // 2 if blocks == 1 else 45 * 45)
+
+    def groups(links):
+        group = list(range(90))
+        for x, y in links:
+            group = [group[y] if g == group[x] else g for g in group]
+        return [group.index(g) for g in group]
+
+    every = [(i, j) for i in range(90) for j in range(90) if side[i] < side[j] or (blocks == 1 and i < j)]
+    agree = [(i, j) for i, j in every if media.consensus(points[i], bits[i], points[j], bits[j], n := media.least_agreeing(min(len(bits[i]), len(bits[j])))) >= n]
+    alone = []
+    monkeypatch.setattr(media, "consensus", lambda *x: alone.append(1) or 0)
+    links = media._meet(True)(table)
+    assert groups((x - 1000, y - 1000) for x, y in zip(links["src"].to_pylist(), links["dst"].to_pylist(), strict=True)) == groups(agree)
+    assert 5 < len(agree) < 100 and not alone
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 

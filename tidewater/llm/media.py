@@ -12,7 +12,8 @@ similarity transform (geometric consensus), which survives crops, turns, rescali
 pairs are links; connected components are the groups of copies.
 
 The images are dealt into blocks of about BLOCK points, and each two blocks are a task, which joins their buckets in parts of
-COUPLES couples at most, so none is too large to be whole. In a task a pair that its links already join is not checked again.
+COUPLES couples at most, so none is too large to be whole. In a task a pair that its links already join is not checked again, and
+an image is matched with all that are proposed for it at once: most of them are dismissed for too few matches.
 A description is sent once for each block: the join is quadratic in blocks, as meetings are in the images of a bucket.
 
 Byte-identical images share one description, so a flood of copies costs nothing. Undecodable, null or featureless images
@@ -44,6 +45,8 @@ FEWEST = 8
 CELL, AT_ONCE, COUPLES = 96, 1 << 26, 1 << 21
 #: Points of a block, and the least number of blocks (so of tasks, LEAST * (LEAST + 1) / 2).
 BLOCK, LEAST = 400_000, 6
+#: Points of a block that are taken to the buckets of the other at once.
+SLICE = 1 << 15
 _HEAD = re.compile(rb"\A(P[56])\s+(?:#[^\n]*\n\s*)*([0-9]+)\s+([0-9]+)\s+255\s")
 
 
@@ -133,7 +136,6 @@ POSE_BITS = LEVEL_BITS + TURN_BITS
 #: How near the turns of two couples must be, as the length of their mean.
 AGREE = 0.98
 _BITS = np.stack([np.random.RandomState(100 + t).permutation(256)[: KEY_BITS + SORT_BITS] for t in range(TABLES)])
-_POWERS = (1 << np.arange(max(KEY_BITS, SORT_BITS))).astype(np.int64)
 
 
 def _strongest(at: np.ndarray, shape: tuple[int, int], whole: tuple[int, int], most: int) -> np.ndarray:
@@ -182,12 +184,16 @@ def describe(grey: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
 
 def table_keys(points: np.ndarray, descriptors: np.ndarray) -> np.ndarray:
     """By table, a number for each descriptor: table, key, the bits that a bucket's descriptors are compared by, level, angle."""
-    bits = np.unpackbits(descriptors, axis=1, bitorder="little").astype(np.int64)
+    bits = np.unpackbits(np.ascontiguousarray(descriptors.T), axis=0, bitorder="little")
+
+    def number(chosen: np.ndarray) -> np.ndarray:
+        return sum(byte.astype(np.int64) << (8 * k) for k, byte in enumerate(np.packbits(bits[chosen], axis=0, bitorder="little")))
+
     turn = np.floor(points[:, 3].astype(np.float64) / (2 * np.pi) * (1 << TURN_BITS)).astype(np.int64) % (1 << TURN_BITS)
     level = np.rint(np.log(points[:, 2].astype(np.float64)) / -np.log(STEP)).astype(np.int64)
     pose = (level << TURN_BITS) + turn
     keys = [
-        ((((t << KEY_BITS) + bits[:, k[:KEY_BITS]] @ _POWERS[:KEY_BITS]) << SORT_BITS) + bits[:, k[KEY_BITS:]] @ _POWERS[:SORT_BITS] << POSE_BITS) + pose
+        ((((t << KEY_BITS) + number(k[:KEY_BITS])) << SORT_BITS) + number(k[KEY_BITS:]) << POSE_BITS) + pose
         for t, k in enumerate(_BITS)
     ]
     return np.concatenate(keys)
@@ -209,7 +215,11 @@ def consensus(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray, n
     good = np.flatnonzero((least <= MATCH) & (back[best] == np.arange(len(da))))
     if len(good) < needed:
         return 0
-    a, b = pa_[good], pb[best[good]]
+    return _agreeing(pa_[good], pb[best[good]])
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """Most of these matched points, as many of either image, that agree on one similarity transform."""
     za, zb = a[:, 1] + 1j * a[:, 0], b[:, 1] + 1j * b[:, 0]
     most = 0
     turn = np.exp(1j * (b[:, 3] - a[:, 3])) * (b[:, 2] / a[:, 2])
@@ -250,7 +260,7 @@ def _arrays(points: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Block:
-    """Images of a block: their numbers, points and descriptors, image i at first[i]:first[i + 1], and their keys in order."""
+    """Images of a block: their numbers, points and descriptors, image i at first[i]:first[i + 1]."""
 
     def __init__(self, rows: pa.Table):
         order = np.argsort(rows.column("no").to_numpy(), kind="stable")
@@ -261,60 +271,98 @@ class _Block:
         self.points = np.concatenate([p for p, _ in held]) if held else np.zeros((0, 4), np.float32)
         self.bits = np.concatenate([d for _, d in held]) if held else np.zeros((0, 32), np.uint8)
         self.owner = np.repeat(np.arange(len(held), dtype=np.int32), np.diff(self.first))
-        packed = np.concatenate([table_keys(self.points[i : i + 65536], self.bits[i : i + 65536]).reshape(TABLES, -1) for i in range(0, len(self.bits), 65536)] or [np.zeros((TABLES, 0), np.int64)], axis=1).ravel()
-        order = np.argsort(packed, kind="stable")
-        self.packed, self.point = packed[order], (order % max(len(self.bits), 1)).astype(np.int32)
-        self.bucket = self.packed >> (SORT_BITS + POSE_BITS)
-
-    def one(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.points[self.first[i] : self.first[i + 1]], self.bits[self.first[i] : self.first[i + 1]]
-
-
-def _couples(a: _Block, b: _Block, rows: np.ndarray, low: np.ndarray, many: np.ndarray) -> Iterator[np.ndarray]:
-    """Points of a and of b whose descriptors meet: of these rows of a with as many rows of b from low on."""
+        self.words = self.bits.view(np.uint64)
+        self.level = np.rint(np.log(self.points[:, 2]) / -np.log(STEP)).astype(np.int64)
+        self.place = self.points[:, 1] + 1j * self.points[:, 0]
+        self.pose = np.exp(1j * self.points[:, 3]) * self.points[:, 2]
+
+
+class _Buckets:
+    """Descriptors of a block by bucket, and then by point: key holds both; the bits to be compared by; a code of each point."""
+
+    def __init__(self, block: _Block, codes: np.ndarray):
+        n = len(block.bits)
+        packed = np.empty((TABLES, n), np.int64)
+        for i in range(0, n, SLICE):
+            packed[:, i : i + SLICE] = table_keys(block.points[i : i + SLICE], block.bits[i : i + SLICE]).reshape(TABLES, -1)
+        key = packed >> (SORT_BITS + POSE_BITS)
+        key <<= 32
+        key += np.arange(n)
+        packed >>= POSE_BITS
+        packed &= (1 << SORT_BITS) - 1
+        compared = packed.astype(np.uint32).ravel()
+        del packed
+        self.key = key.ravel()
+        self.key.sort()
+        point = self.key & 0xFFFFFFFF
+        self.codes = codes[point]
+        point += (self.key >> (32 + KEY_BITS)) * n
+        self.compared = compared[point]
+
+
+def _couples(a: np.ndarray, codes: np.ndarray, b: _Buckets, low: np.ndarray, many: np.ndarray) -> Iterator[np.ndarray]:
+    """Sums of the codes of the descriptors that meet: of these of a (their bits to be compared by) with as many of b from low on."""
     ends = np.cumsum(many)
     at = 0
-    while at < len(rows):
+    while at < len(a):
         # a row alone may have more couples than that: as many as its bucket holds, not squared
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUPLES, "right")))
         n = many[at:to]
-        x = np.repeat(rows[at:to], n)
-        y = np.arange(len(x)) + np.repeat(low[at:to] - (np.cumsum(n) - n), n)
+        y = np.repeat(low[at:to] - (np.cumsum(n) - n), n)
+        y += np.arange(len(y))
+        near = np.flatnonzero(np.bitwise_count(np.repeat(a[at:to], n) ^ b.compared[y]) <= FAR)
+        yield np.repeat(codes[at:to], n)[near] + b.codes[y[near]]
         at = to
-        near = np.bitwise_count(((a.packed[x] ^ b.packed[y]) >> POSE_BITS) & ((1 << SORT_BITS) - 1)) <= FAR
-        p, q = a.point[x[near]], b.point[y[near]]
-        if a is b:
-            later = a.owner[p] < a.owner[q]
-            p, q = p[later], q[later]
-        yield p, q
 
 
 def _proposed(a: _Block, b: _Block) -> Iterator[np.ndarray]:
-    """Codes (image of a, image of b) of the pairs to be checked, for some images of a at a time."""
+    """Codes (image of a, image of b) of the pairs to be checked, for some images of a at a time, in order."""
     if not len(a.bits) or not len(b.bits):
         return
-    owner = a.owner[a.point]
-    rows = np.argsort(owner, kind="stable")
-    low = np.searchsorted(b.bucket, a.bucket, "left")[rows]
-    many = np.searchsorted(b.bucket, a.bucket, "right")[rows] - low
-    first = np.searchsorted(owner[rows], np.arange(len(a.no) + 1))
-    ends = np.r_[0, np.cumsum(many)][first]
+    # A couple is one number: image of a, image of b, difference of levels, point in the one image, point in the other. It is the sum of
+    # a part for either descriptor, sorts couples of a pair and a level together, and is the same in whatever table the two meet.
+    of_b, of_level, of_p, of_q = (int(x).bit_length() for x in (len(b.no) - 1, 2 * SCALES - 1, np.diff(a.first).max() - 1, np.diff(b.first).max() - 1))
+    of_pair, of_code = of_b + of_level + of_p + of_q, of_p + of_q
+    own = ((SCALES - a.level) << of_code) + ((np.arange(len(a.bits)) - a.first[a.owner]) << of_q)
+    other = _Buckets(b, (((b.owner.astype(np.int64) << of_level) + b.level) << of_code) + (np.arange(len(b.bits)) - b.first[b.owner]))
     i = 0
     while i < len(a.no):
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + COUPLES, "right")) - 1)
-        j = min(j, i + max(1, 4 * COUPLES // len(b.no)))
-        part, start, i = slice(first[i], first[j]), i, j
-        p, q = (np.concatenate(c) for c in zip(*_couples(a, b, rows[part], low[part], many[part]), (rows[:0], rows[:0]), strict=True))
-        pair = (a.owner[p].astype(np.int64) - start) * len(b.no) + b.owner[q]
-        kept = _several(pair, p)
-        pair, p, q = pair[kept], p[kept], q[kept]
-        level = np.rint(np.log(a.points[p, 2] / b.points[q, 2]) / np.log(STEP)).astype(np.int64) + SCALES
-        order = np.lexsort((q, p, pair * (2 * SCALES) + level))
-        p, q, code = p[order], q[order], (pair * (2 * SCALES) + level)[order]
-        once = np.r_[True, (code[1:] != code[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])][: len(code)]  # in however many tables
-        p, q, code = p[once], q[once], code[once]
-        (za, zb), (ta, tb) = ((x[:, 1] + 1j * x[:, 0] for x in (a.points[p], b.points[q])), (a.points[p, 3], b.points[q, 3]))
-        turn = np.exp(1j * (tb - ta)) * (b.points[q, 2] / a.points[p, 2])
+        j = max(i + 1, int(np.searchsorted(a.first, a.first[i] + SLICE, "right")) - 1)
+        yield from _proposed_of(a, i, min(j, len(a.no)), b, own, other, of_b, of_level, of_p, of_q)
+        i = j
+
+
+def _proposed_of(a: _Block, i: int, stop: int, b: _Block, own: np.ndarray, other: _Buckets, of_b: int, of_level: int, of_p: int, of_q: int) -> Iterator[np.ndarray]:
+    """_proposed() for the images i to stop of a."""
+    of_pair, of_code = of_b + of_level + of_p + of_q, of_p + of_q
+    points = slice(a.first[i], a.first[stop])
+    packed = table_keys(a.points[points], a.bits[points]).reshape(TABLES, -1).T.ravel()  # by point, so by image
+    point = np.repeat(np.arange(points.start, points.stop), TABLES)
+    compared = (packed >> POSE_BITS & ((1 << SORT_BITS) - 1)).astype(np.uint32)
+    bucket = packed >> (SORT_BITS + POSE_BITS) << 32
+    order = np.argsort(bucket)
+    low, many = np.empty_like(bucket), np.empty_like(bucket)
+    # in one block each two of a bucket meet once: those of an image with those of later ones
+    low[order] = np.searchsorted(other.key, (bucket + (a.first[a.owner[point] + 1] if a is b else 0))[order])
+    many[order] = np.searchsorted(other.key, bucket[order] + 0xFFFFFFFF)
+    many -= low
+    base, first = i, (a.first[i : stop + 1] - points.start) * TABLES
+    ends = np.r_[0, np.cumsum(many)][first]
+    while i < stop:
+        j = base + max(i + 1 - base, int(np.searchsorted(ends, ends[i - base] + COUPLES, "right")) - 1)
+        j = min(j, i + (1 << max(0, 62 - of_pair)))
+        part, start, i = slice(first[i - base], first[j - base]), i, j
+        codes = own[point[part]] + ((a.owner[point[part]].astype(np.int64) - start) << of_pair)
+        couples = np.concatenate([own[:0], *_couples(compared[part], codes, other, low[part], many[part])])
+        couples.sort()
+        couples = couples[np.r_[True, couples[1:] != couples[:-1]][: len(couples)]]  # in however many tables
+        same = (couples[1:] >> of_code) == (couples[:-1] >> of_code)
+        couples = couples[(np.r_[False, same] | np.r_[same, False])[: len(couples)]]
+        code = couples >> of_code
+        pair = code >> of_level
+        p = a.first[(pair >> of_b) + start] + ((couples >> of_q) & ((1 << of_p) - 1))
+        q = b.first[pair & ((1 << of_b) - 1)] + (couples & ((1 << of_q) - 1))
+        za, zb, turn = a.place[p], b.place[q], b.pose[q] / a.pose[p]
         agreed, left, s = [], np.arange(len(code)), 0
         while len(left):  # each couple with the s-th after it of its pair
             s += 1
@@ -327,18 +375,40 @@ def _proposed(a: _Block, b: _Block) -> Iterator[np.ndarray]:
             agreed.append(code[x[ok]])
             if ok.any():  # no need to look further
                 left = left[~np.isin(code[left], agreed[-1])]
-        found = np.unique(np.concatenate([code[:0], *agreed])) // (2 * SCALES)
+        found = np.unique(np.concatenate([code[:0], *agreed]) >> of_level)
         if len(found):
-            yield np.unique(found) + start * len(b.no)
+            yield ((found >> of_b) + start) * len(b.no) + (found & ((1 << of_b) - 1))
 
 
-def _several(pair: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Which couples are of a pair with couples of two points p or more."""
-    last = np.zeros(int(pair.max(initial=-1)) + 1, np.int32)
-    last[pair] = p
-    more = np.zeros(len(last), bool)
-    more[pair[last[pair] != p]] = True
-    return more[pair]
+def _matched(a: _Block, i: int, b: _Block, js: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(j, points of i, points of j that they match) as consensus() matches them, for each of these images of b that it would not
+    dismiss for too few matches. Many images at once: most are dismissed."""
+    mine = a.words[a.first[i] : a.first[i + 1]].T
+    n, counts = mine.shape[1], b.first[js + 1] - b.first[js]
+    # A distance and a place in one number, so the least is the first of the nearest.
+    kind, of_place = (np.int32, 22) if max(n, counts.max(initial=0)) < 1 << 22 else (np.int64, 40)
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(js):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE // (256 * n), "right")))
+        some = counts[at:to]
+        starts = np.cumsum(some) - some
+        local = np.arange(int(some.sum())) - np.repeat(starts, some)
+        theirs = np.ascontiguousarray(b.words[local + np.repeat(b.first[js[at:to]], some)].T)
+        apart = np.zeros((n, len(local)), kind)
+        for x, y in zip(mine, theirs, strict=True):
+            apart += np.bitwise_count(x[:, None] ^ y)
+        apart <<= of_place
+        back = (apart + np.arange(n, dtype=kind)[:, None]).min(0) & ((1 << of_place) - 1)
+        apart += local.astype(kind)
+        nearest = np.minimum.reduceat(apart, starts, axis=1)
+        best = nearest & ((1 << of_place) - 1)
+        good = (nearest >> of_place <= MATCH) & (back[best + starts] == np.arange(n)[:, None])
+        enough = good.sum(0) >= [least_agreeing(min(n, k)) for k in some.tolist()]
+        for k in np.flatnonzero(enough).tolist():
+            j, p = int(js[at + k]), np.flatnonzero(good[:, k])
+            yield j, a.points[a.first[i] + p], b.points[b.first[j] + best[p, k]]
+        at = to
 
 
 def _meet(check: bool):
@@ -359,14 +429,18 @@ def _meet(check: bool):
 
         src, dst = [], []
         for pairs in _proposed(a, b):
-            for i, j in zip((pairs // len(b.no)).tolist(), (pairs % len(b.no)).tolist(), strict=True):
-                if not check:
-                    src.append(max(a.no[i], b.no[j]))
-                    dst.append(min(a.no[i], b.no[j]))
-                elif (x := top(i)) != (y := top(offset + j)):
-                    one, other = a.one(i), b.one(j)
-                    needed = least_agreeing(min(len(one[0]), len(other[0])))
-                    if consensus(*one, *other, needed) >= needed:
+            left, right = pairs // len(b.no), pairs % len(b.no)
+            if not check:
+                src.extend(np.maximum(a.no[left], b.no[right]).tolist())
+                dst.extend(np.minimum(a.no[left], b.no[right]).tolist())
+                continue
+            images, begin = np.unique(left, return_index=True)
+            for i, js in zip(images.tolist(), np.split(right, begin[1:]), strict=True):
+                x = top(i)
+                apart = [j for j in js.tolist() if top(offset + j) != x]
+                for j, p, q in _matched(a, i, b, np.array(apart, np.int64)):
+                    needed = least_agreeing(int(min(a.first[i + 1] - a.first[i], b.first[j + 1] - b.first[j])))
+                    if (x := top(i)) != (y := top(offset + j)) and _agreeing(p, q) >= needed:
                         root[x] = y
                         src.append(a.image[i])
                         dst.append(b.image[j])
