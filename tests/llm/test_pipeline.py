@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from tidewater.llm import bpe
+from tidewater.llm import bpe, mixing, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -119,3 +119,26 @@ def test_stages_of_empty_tables_are_empty(spark):
         out = stage(spark, now, "")
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and out.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() == 0
+
+
+def broadcasts(df):
+    """The plans of what df's joins broadcast."""
+    found, left = [], [df._jdf.queryExecution().sparkPlan()]
+    while left:
+        node = left.pop()
+        if node.getClass().getSimpleName() == "BroadcastHashJoinExec":
+            found.append((node.left() if node.buildSide().toString() == "BuildLeft" else node.right()).toString())
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_no_exploded_table_is_broadcast(spark, tmp_path, monkeypatch):
+    """Spark counts a row for each that explode() is given, so it takes 63 tables of many fingerprints for a small one."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    spark.range(1000).selectExpr("xxhash64(id) AS fp").write.parquet(str(tmp_path / "prints"))
+    links = simhash.near_links(spark.read.parquet(str(tmp_path / "prints")), simhash.covering_masks(5), 5)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    docs = spark.createDataFrame([(i, "a b c", "en", f"s{i % 5}", 5) for i in range(20)], SCHEMA)
+    mixed = mixing.mix(mixing.with_size(docs))
+    assert not [p for df in (links, mixed) for p in broadcasts(df) if "Generate explode" in p]
+    assert mixed.count() == 20

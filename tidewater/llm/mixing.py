@@ -143,7 +143,8 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", we
         joined = keyed.join(F.broadcast(plan), "_mix_key")
     else:
         salted = plan.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("_mix_salt", F.pmod("_mix_tie", F.lit(SALTS)).cast("int")).join(salted, ["_mix_key", "_mix_salt"]).drop("_mix_salt")
+        # merged by hint: Spark sizes what explode() makes as what it is given, so it may broadcast it
+        joined = keyed.withColumn("_mix_salt", F.pmod("_mix_tie", F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["_mix_key", "_mix_salt"]).drop("_mix_salt")
     alike = keyed.groupBy("_mix_key", "_mix_tie").agg(F.count("*").alias("_mix_n")).where(F.col("_mix_n") > max(BLOCK, n_rows // HEAVY))
     spread = F.when(F.col("_mix_n").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_mix_n") / BLOCK))).otherwise(0)
     rated = (

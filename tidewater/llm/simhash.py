@@ -84,7 +84,7 @@ def near_links(distinct: DataFrame, masks: list[int] | None = None, radius: int
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(masks)])
     tagged = distinct.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.mask", F.col("fp").bitwiseAND(F.col("x.mask")).alias("bucket"))
     shared = tagged.groupBy("t", "bucket").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1").select("t", "bucket", "n", "least")
-    every = tagged.join(shared, ["t", "bucket"])
+    every = tagged.hint("merge").join(shared, ["t", "bucket"])  # Spark sizes what explode() makes as what it is given
     few = every.where(F.col("n") <= SMALL).groupBy("t", "bucket").agg(F.collect_list("fp").alias("all"))
     close = F.expr(f"flatten(transform(all, a -> transform(filter(all, b -> b < a AND bit_count(a ^ b) <= {radius}), b -> struct(a AS src, b AS dst))))")
     pairs = few.select(F.explode(close).alias("p")).select("p.src", "p.dst")
